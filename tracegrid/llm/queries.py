@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import toxicity
+from . import quality, toxicity
 
-_MODULES = [toxicity]
+_MODULES = [quality, toxicity]
 
 
 def queries() -> dict:
