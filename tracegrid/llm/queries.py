@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality, toxicity
+from . import packing, quality, records, toxicity
 
-_MODULES = [quality, toxicity]
+_MODULES = [quality, records, packing, toxicity]
 
 
 def queries() -> dict:
