@@ -11,9 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that carries whole texts; bounds a Python worker's memory.
-TEXT_BATCH_ROWS = 512
-TEXT_BATCH_BYTES = 16 << 20
+#: Bytes and rows of an Arrow batch; they bound a Python worker's memory whatever the texts' lengths.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +50,8 @@ def stage(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
 
 def text_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for whole texts of any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
-    except Exception:  # noqa: BLE001  a Spark without that setting keeps the bound on rows
-        pass
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, quality, records, toxicity
+from . import jaccard, packing, quality, records, toxicity
 
-_MODULES = [quality, records, packing, toxicity]
+_MODULES = [quality, records, jaccard, packing, toxicity]
 
 
 def queries() -> dict:
