@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard, packing, quality, records, toxicity
+from . import jaccard, packing, quality, records, sharding, toxicity
 
-_MODULES = [quality, records, jaccard, packing, toxicity]
+_MODULES = [quality, sharding, records, jaccard, packing, toxicity]
 
 
 def queries() -> dict:
