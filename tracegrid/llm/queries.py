@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard, packing, quality, records, sharding, toxicity
+from . import bpe, embeddings, jaccard, packing, quality, records, sharding, toxicity
 
-_MODULES = [quality, sharding, records, jaccard, packing, toxicity]
+_MODULES = [quality, sharding, records, jaccard, bpe, packing, embeddings, toxicity]
 
 
 def queries() -> dict:
