@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, jaccard, packing, quality, records, sharding, toxicity
+from . import bpe, embeddings, jaccard, licenses, packing, quality, records, sharding, toxicity, urls
 
-_MODULES = [quality, sharding, records, jaccard, bpe, packing, embeddings, toxicity]
+_MODULES = [licenses, quality, sharding, records, urls, jaccard, bpe, packing, embeddings, toxicity]
 
 
 def queries() -> dict:
