@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import relational
+
+_PLANS = [relational]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for plan in _PLANS for k, v in plan.query.queries.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for plan in _PLANS for k, v in plan.query.sql.items()}
