@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values of the public address formats.
@@ -104,6 +105,10 @@ def describe(address: str | None) -> tuple[bool, str, str]:
         return False, "invalid", "none"
 
 
-@F.pandas_udf("struct<valid: boolean, kind: string, checksum: string>")
-def describe_address(addresses: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([describe(a) for a in addresses], columns=["valid", "kind", "checksum"])
+def describe_address(address: Column) -> Column:
+    """Struct (valid, kind, checksum) of an address column, by Arrow batches."""
+
+    def run(addresses: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([describe(a) for a in addresses], columns=["valid", "kind", "checksum"])
+
+    return F.pandas_udf(run, "struct<valid: boolean, kind: string, checksum: string>")(address)

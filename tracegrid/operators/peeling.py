@@ -11,13 +11,13 @@ from ..functions.scalars import array_sum, clamp, pop_cv
 
 def candidates(tx: DataFrame, asymmetry: float = config.PEEL_ASYMMETRY, min_share: float = config.PEEL_MIN_SHARE) -> DataFrame:
     """Transactions of one input and two lopsided outputs, with the output that goes on and the one peeled off."""
-    a, b = F.col("output_amounts")[0], F.col("output_amounts")[1]
+    a, b = F.get("output_amounts", 0), F.get("output_amounts", 1)
     first = a >= b
     go = F.when(first, a).otherwise(b)
     peel = F.when(first, b).otherwise(a)
     out = tx.where((F.size("inputs") == 1) & (F.size("outputs") == 2) & (F.size("output_amounts") == 2)).select(
-        "txid", "timestamp", F.col("inputs")[0].alias("from_wallet"), F.coalesce(F.get("input_amounts", 0), F.lit(0.0)).alias("input_amount"),
-        F.when(first, F.col("outputs")[0]).otherwise(F.col("outputs")[1]).alias("continue_wallet"), F.when(first, F.col("outputs")[1]).otherwise(F.col("outputs")[0]).alias("peel_wallet"),
+        "txid", "timestamp", F.get("inputs", 0).alias("from_wallet"), F.coalesce(F.get("input_amounts", 0), F.lit(0.0)).alias("input_amount"),
+        F.when(first, F.get("outputs", 0)).otherwise(F.get("outputs", 1)).alias("continue_wallet"), F.when(first, F.get("outputs", 1)).otherwise(F.get("outputs", 0)).alias("peel_wallet"),
         go.alias("continue_amount"), peel.alias("peel_amount"),
     )
     total = F.col("continue_amount") + F.col("peel_amount")

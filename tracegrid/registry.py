@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import relational
+from .plans import relational, scoring
 
-_PLANS = [relational]
+_PLANS = [relational, scoring]
 
 
 def queries() -> dict:
