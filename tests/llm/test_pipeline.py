@@ -1,0 +1,34 @@
+"""The corpus pipeline: each stage on what the one before kept."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+from test_corpus_queries import brute_components
+
+from tracegrid.llm import toxicity
+from tracegrid.llm.common import stage
+
+
+def test_stages_take_effect(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    seen = [docs]
+    for name, function in corpus_pipeline.STAGES:
+        seen.append(stage(function(spark, seen[-1], sf), f"test-{name}"))
+    for out in seen[1:-1]:
+        assert out.columns == corpus_pipeline.COLUMNS
+    model = toxicity.train(docs, labels)
+    rejected = {r.doc_id for r in toxicity.score(docs, model).where("predicted = 1").collect()}
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in seen[1].collect()} == rejected
+    before = {r.doc_id: r.text for r in seen[2].collect()}
+    assert {r.doc_id for r in seen[3].collect()} == {c for _, c in brute_components(before).values()}
+    pieces = seen[4].collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in seen[3].collect()}
+    whole = corpus_pipeline.run(spark, sf)
+    assert sorted((r.doc_id, r.piece, r.length) for r in whole.collect()) == sorted((r.doc_id, r.piece, r.length) for r in pieces)
+
+
+def test_stages_take_empty_tables(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, function in corpus_pipeline.STAGES:
+        assert function(spark, docs, sf).count() == 0
