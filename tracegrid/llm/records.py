@@ -3,8 +3,8 @@
 A record is framed as: its payload's length (unsigned 64 bits), a masked checksum of those eight bytes, the
 payload, a masked checksum of the payload. A checksum is CRC-32, rotated right by 15 bits plus a constant
 modulo 2**32, so that a record which holds other records' checksums doesn't look valid by chance. A payload is
-a flag word (1: the id is null), the document's id (signed 64 bits) and the token ids (unsigned 32 bits), all
-little-endian. ``part-N.idx`` has 24 bytes a record: the record's offset in ``part-N.rec``, its number of
+a flag word (1: the id is null; 2: wide tokens), the document's id (signed 64 bits) and the token ids, all
+little-endian. Token ids have 16 bits where all of a record's fit, else 32. ``part-N.idx`` has 32 bytes a record: its offset in ``part-N.rec``, its size, its number of
 tokens, the document's id; a shuffled read seeks by it.
 
 Files are numbered in ascending doc_id order (null ids first; equal ids by their text's hash), and so are the
@@ -33,7 +33,7 @@ from .word_encoder import encoder, vocabulary_path
 
 MASK_DELTA = 0xA282EAD8
 END_ID = 1
-INDEX = np.dtype([("offset", "<u8"), ("n_tokens", "<u8"), ("doc_id", "<i8")])
+INDEX = np.dtype([("offset", "<u8"), ("size", "<u8"), ("n_tokens", "<u8"), ("doc_id", "<i8")])
 HEAD, HEAD_SIZE = "<QI", 12
 PAYLOAD, PAYLOAD_SIZE = "<Iq", 12
 BUFFER = 4 << 20
@@ -75,9 +75,18 @@ def read_frames(stream) -> Iterator[tuple[int, bytes]]:
         at += HEAD_SIZE + size + 4
 
 
+def serialize(doc_id: int | None, tokens: bytes) -> bytes:
+    """The payload of a document; tokens: unsigned 32-bit ids."""
+    ids = np.frombuffer(tokens, dtype="<u4")
+    wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
+    return struct.pack(PAYLOAD, (doc_id is None) | 2 * wide, doc_id or 0) + (tokens if wide else ids.astype("<u2").tobytes())
+
+
 def parse(payload: bytes) -> tuple[int | None, bytes]:
+    """Id and tokens, as unsigned 32-bit ids."""
     flag, doc_id = struct.unpack_from(PAYLOAD, payload)
-    return None if flag & 1 else doc_id, payload[PAYLOAD_SIZE :]
+    body = payload[PAYLOAD_SIZE:]
+    return None if flag & 1 else doc_id, body if flag & 2 else np.frombuffer(body, dtype="<u2").astype("<u4").tobytes()
 
 
 def write_records(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -100,9 +109,9 @@ def write_records(docs: DataFrame, path: str, vocabulary: str | None = None, end
                 ids = batch.column(0).to_pylist()
                 for doc_id, tokens in zip(ids, encode.encode_all(batch.column(1).to_pylist()), strict=True):
                     tokens += end
-                    record = frame(struct.pack(PAYLOAD, doc_id is None, doc_id or 0) + tokens)
+                    record = frame(serialize(doc_id, tokens))
                     out.write(record)
-                    index.append((at, len(tokens) // 4, doc_id or 0))
+                    index.append((at, len(record), len(tokens) // 4, doc_id or 0))
                     at += len(record)
                     n_ids += len(tokens) // 4
         with fs.open_output_stream(f"{own}.idx") as out:
@@ -152,8 +161,7 @@ def read_records(manifest: DataFrame, path: str, shuffle_seed: int | None = None
         with fs.open_input_file(f"{root}/{name}.rec") as f:
             for i in np.random.default_rng([shuffle_seed, zlib.crc32(name.encode())]).permutation(len(index)):
                 f.seek(int(index["offset"][i]))
-                size = HEAD_SIZE + PAYLOAD_SIZE + 4 * int(index["n_tokens"][i]) + 4
-                _, payload = next(read_frames(pa.BufferReader(f.read(size))))
+                _, payload = next(read_frames(pa.BufferReader(f.read(int(index["size"][i])))))
                 doc_id, tokens = parse(payload)
                 yield doc_id, int(starts[i]), tokens
 
