@@ -29,7 +29,7 @@ from .common import stage, table
 SHARDS = 24
 SEED = 20_240_917
 #: Rows of a shard's part, and the most parts a shard is cut into.
-PART_ROWS, MAX_PARTS = 50_000, 4096
+PART_ROWS, MAX_PARTS = 10_000, 4096
 MIN_PARTS = 8
 
 
