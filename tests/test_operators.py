@@ -203,3 +203,22 @@ def test_empty_inputs_give_empty_results(spark):
     assert peeling.candidates(t).count() == 0 and peeling.mixing(t).count() == 0
     empty = spark.createDataFrame([], "src string, dst string")
     assert iterate.connected_components(empty).count() == 0
+
+
+def test_case_file_escapes_what_it_shows():
+    from tracegrid.operators import casefile
+
+    alert = evidence.stamp({"alert_id": "CT-W-1", "entity": "<script>", "entity_type": "wallet", "risk": 0.9, "confidence": 0.5, "action": "escalate", "reasons": ["<script>alert(1)</script>"], "c_risk": 0.9, "c_peel": 0.2, "counterfactuals": [{"evidence": "risk", "score_without": 0.2, "decisive": True}]})
+    page = casefile.as_html(alert)
+    assert "<script>" not in page and "&lt;script&gt;" in page and "<svg" in page
+    assert "verified" in casefile.as_markdown(alert) and "<script>" not in casefile.as_markdown(alert)
+    assert json.loads(casefile.as_json(alert))["entity"] == "<script>"
+
+
+def test_node_link_export_keeps_the_busiest(spark):
+    nodes, edges = focus_graph(spark)
+    n, e, cut = graph.node_link(nodes, edges, 3)
+    assert cut and n.count() == 3
+    assert all("T" in json.loads(r.value)["timestamp"] for r in graph.node_link(nodes, edges, 100)[1].collect())
+    marks = spark.createDataFrame([("W_MID", 3)], "id string, cluster int")
+    assert {r.id: r.cluster for r in graph.annotate(nodes, marks).collect()}["W_MID"] == 3

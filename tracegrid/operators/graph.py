@@ -100,3 +100,21 @@ def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(id, hops) of nodes at most depth undirected steps from seeds (id)."""
     return hops_from(edges, seeds, depth)
+
+
+def node_link(node_rows: DataFrame, edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(nodes, edges, truncated) as JSON lines with ISO times; beyond limit nodes, those of largest degree stay."""
+    truncated = node_rows.count() > limit
+    if truncated:
+        top, edges = top_by_degree(edges, limit)
+        node_rows = node_rows.join(top.select("id"), "id", "left_semi")
+    iso = {c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") for c, kind in edges.dtypes if kind == "timestamp"}
+    as_json = lambda df: df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    return as_json(node_rows), as_json(edges.withColumns(iso) if iso else edges), truncated
+
+
+def annotate(node_rows: DataFrame, *parts: DataFrame) -> DataFrame:
+    """Nodes with the columns of parts (id, ...), null where a part has no row."""
+    for p in parts:
+        node_rows = node_rows.join(p, "id", "left")
+    return node_rows
