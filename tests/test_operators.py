@@ -222,3 +222,10 @@ def test_node_link_export_keeps_the_busiest(spark):
     assert all("T" in json.loads(r.value)["timestamp"] for r in graph.node_link(nodes, edges, 100)[1].collect())
     marks = spark.createDataFrame([("W_MID", 3)], "id string, cluster int")
     assert {r.id: r.cluster for r in graph.annotate(nodes, marks).collect()}["W_MID"] == 3
+
+
+def test_geography_of_a_known_address(spark):
+    from tracegrid.operators import enrich
+
+    r = enrich.lookup(spark.createDataFrame([("185.220.101.42",), (None,)], "ip string"), "ip").collect()
+    assert {(x.ip, x.geo_country, x.geo_asn) for x in r} == {("185.220.101.42", "GB", "AS2856"), (None, None, None)}
