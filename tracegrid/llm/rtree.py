@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 
-GROUPS = 128
+GROUPS = 512
 FAN = 16
 
 
 def count_vector(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
+    return np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=GROUPS)
 
 
 def pack_vector(counts: np.ndarray) -> bytes:
