@@ -252,20 +252,28 @@ def _across(pairs: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _indexed(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) from R-tree joins of cells: rows (cell, doc, component, n, vector, blocks)."""
+    """Pairs (a, b) from R-tree joins of cells: rows (cell, doc, component, n, vector, blocks, cells).
+
+    cells has all of the set's open cells, sorted: a pair is given by the first cell that both sets share, once.
+    """
     i = F.pmod(F.xxhash64("doc"), F.col("blocks"))
     rows = rows.withColumn("i", i).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    rows = rows.select("cell", F.least("i", "k").alias("x"), F.greatest("i", "k").alias("y"), "i", "doc", "component", "n", "vector")
+    rows = rows.select("cell", F.least("i", "k").alias("x"), F.greatest("i", "k").alias("y"), "i", "doc", "component", "n", "vector", "cells")
 
     def run(table: pa.Table) -> pa.Table:
         i, doc, mark, n, vector = (table.column(c) for c in ("i", "doc", "component", "n", "vector"))
         i, doc, mark, n, vector = i.to_numpy(), doc.to_numpy(), mark.to_numpy(), n.to_numpy(), unpack_vectors(vector.to_pylist())
         blocks = [np.flatnonzero(i == x) for x in np.unique(i)]
         trees = [RTree(vector[b], n[b], mark[b]) for b in blocks]
+        here, cells = table.column("cell")[0].as_py(), table.column("cells").to_pylist()
+        sets = [frozenset(c) for c in cells]
+        first = lambda u, v: next(c for c in cells[u] if c in sets[v]) == here
         a, b = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         if len(blocks) == 2 or len(blocks) == 1 and table.column("x")[0].as_py() == table.column("y")[0].as_py():
             for x, y in trees[0].join(trees[-1], P, Q):
-                u, v = doc[blocks[0][x]], doc[blocks[-1][y]]
+                u, v = blocks[0][x], blocks[-1][y]
+                ok = np.fromiter((i != j and first(i, j) for i, j in zip(u.tolist(), v.tolist(), strict=True)), dtype=bool, count=len(u))
+                u, v = doc[u[ok]], doc[v[ok]]
                 a, b = np.concatenate([a, np.minimum(u, v)]), np.concatenate([b, np.maximum(u, v)])
         pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -296,7 +304,9 @@ def components(docs: DataFrame) -> DataFrame:
     cells = rows.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who")).where("low <> high")
     # Cells with the same sets are joined once.
     cells = cells.groupBy("who", "m").agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    open_rows = rows.join(cells, "cell").join(points.withColumnRenamed("rep", "doc"), "doc").select("cell", "doc", "component", "n", "vector", "blocks")
+    opened = rows.join(cells, "cell").select("cell", "doc", "component", "blocks")
+    shared = opened.groupBy("doc").agg(F.sort_array(F.collect_set("cell")).alias("cells"))  # at most a set's own cells
+    open_rows = opened.join(shared, "doc").join(points.withColumnRenamed("rep", "doc"), "doc").select("cell", "doc", "component", "n", "vector", "blocks", "cells")
     late = stage(_indexed(open_rows), "jaccard-pairs")
     if late.limit(1).count():
         links = links.unionByName(stage(verified(late, texts_of(docs, late)), "jaccard-links"))
