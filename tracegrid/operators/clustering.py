@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from .. import config
 from ..functions.scalars import array_sum, pop_cv
-from .iterate import connected_components, prepared
+from .iterate import connected_components, prepared, settled
 
 
 def merge_hazard(max_inputs: int = config.COMMON_INPUT_MAX, min_outputs: int = config.MIX_OUTPUTS, cv: float = config.MIX_CV) -> Column:
@@ -60,7 +60,7 @@ def _local_moves(pairs: DataFrame, resolution: float, rounds: int) -> DataFrame:
         gain = F.col("w") - resolution * F.col("k") * (F.col("tot") - F.when(own, F.col("k")).otherwise(0.0)) / m2
         best = seen.withColumn("gain", gain).groupBy("id").agg(F.max(F.struct(F.round("gain", 12).alias("g"), own.alias("stay"), F.col("c").alias("c"))).alias("b"))
         turn = F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2
-        new = state.join(best, "id").select("id", "k", F.when(turn, F.col("b.c")).otherwise(F.col("community")).alias("community"), F.col("community").alias("old")).checkpoint()
+        new = settled(state.join(best, "id").select("id", "k", F.when(turn, F.col("b.c")).otherwise(F.col("community")).alias("community"), F.col("community").alias("old")))
         moved = new.where("community <> old").limit(1).count()
         state = new.select("id", "k", "community")
         if not moved and r % 2:
@@ -78,13 +78,14 @@ def louvain(pairs: DataFrame, resolution: float = config.LOUVAIN_RESOLUTION, rou
     labels, graph, best = None, pairs, None
     for _ in range(levels):
         step = _local_moves(graph, resolution, rounds)
-        new = step if labels is None else labels.join(step.select(F.col("id").alias("community"), F.col("community").alias("next")), "community").select("id", F.col("next").alias("community")).checkpoint()
+        new = step if labels is None else labels.join(step.select(F.col("id").alias("community"), F.col("community").alias("next")), "community").select("id", F.col("next").alias("community"))
+        new = settled(new)
         q = modularity(pairs, new, resolution)
         if best is not None and q <= best + 1e-9:
             break
         labels, best = new, q
         la, lb = (step.select(F.col("id").alias(c), F.col("community").alias(f"c{c}")) for c in "ab")
-        graph = graph.join(la, "a").join(lb, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")).checkpoint()
+        graph = settled(graph.join(la, "a").join(lb, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")))
     plain = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("id"), F.col("component").alias("community"))
     return plain if best is None or modularity(pairs, plain, resolution) > best else labels
 

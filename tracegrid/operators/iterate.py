@@ -19,6 +19,12 @@ def prepared(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tracegrid-checkpoints"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, checkpointed, without its size estimate: that is a product over all joins before, and in a loop its digits double each round until planning doesn't end."""
+    done = df.checkpoint()
+    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), df.sparkSession)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node of each weak component of edges (src, dst); self-loops keep their node."""
     prepared(edges.sparkSession)
@@ -30,7 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        e = star.where("u <> v").distinct().checkpoint()
+        e = settled(star.where("u <> v").distinct())
         roots = e.select(F.col("v").alias("u")).distinct()
         if not e.groupBy("u").count().where("count > 1").limit(1).count() and not e.join(roots, "u", "left_semi").limit(1).count():
             break
@@ -71,13 +77,13 @@ def pagerank(edges: DataFrame, node_rows: DataFrame, teleport: DataFrame | None
     multi = edges.groupBy("source", "target").agg(F.count("*").alias("k")).checkpoint()
     state = base.select("id", (F.col("p") / total).alias("p"), "out", (F.col("p") / total if teleport is not None else F.lit(1.0 / n)).alias("rank"))
     for _ in range(rounds or max_rounds):
-        state = state.checkpoint()
+        state = settled(state)
         dangling = state.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         sent = multi.join(state.select(F.col("id").alias("source"), (F.col("rank") / F.col("out")).alias("each")), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("each") * F.col("k")).alias("got"))
         new = damping * (F.coalesce("got", F.lit(0.0)) + dangling * F.col("p")) + (1 - damping) * F.col("p")
         state = state.join(sent, "id", "left").select("id", "p", "out", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
         if rounds is None:
-            state = state.checkpoint()
+            state = settled(state)
             if state.agg(F.sum("change")).first()[0] < n * tol:
                 break
         state = state.drop("change")
@@ -102,10 +108,11 @@ def hub_proximity(pairs: DataFrame, seeds: DataFrame, decay: float = config.RISK
         reached = arcs.join(frontier, "id").groupBy(F.col("to").alias("id")).agg(F.min(F.struct(F.col("dist") + F.col("cost"), F.col("hops") + 1)).alias("m")).select("id", F.col("m.col1").alias("dist"), F.col("m.col2").alias("hops"))
         old = best.select("id", F.col("dist").alias("od"), F.col("hops").alias("oh"))
         better = F.col("od").isNull() | (F.col("dist") < F.col("od") - 1e-12)
-        frontier = reached.join(old, "id", "left").where(better).select("id", "dist", "hops").checkpoint()
+        frontier = reached.join(old, "id", "left").where(better).select("id", "dist", "hops")
+        frontier = settled(frontier)
         if not frontier.limit(1).count():
             break
-        best = best.unionByName(frontier).groupBy("id").agg(F.min(F.struct("dist", "hops")).alias("m")).select("id", "m.dist", "m.hops").checkpoint()
+        best = settled(best.unionByName(frontier).groupBy("id").agg(F.min(F.struct("dist", "hops")).alias("m")).select("id", "m.dist", "m.hops"))
     return best.where(F.col("hops") <= max_hops).select("id", F.exp(-F.col("dist")).alias("proximity"), "hops")
 
 

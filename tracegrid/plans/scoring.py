@@ -195,11 +195,17 @@ def _(spark, d):
     return K.common_input(few, max_inputs=3, min_outputs=3, cv=0.35)
 
 
+@query("common_input_components")
+def _(spark, d):
+    """common_input_cc over all transactions; the SQL of that one follows two-input orders of a subset only."""
+    return K.common_input(M.transactions(spark, d), max_inputs=3, min_outputs=3, cv=0.35)
+
+
 def entity(spark: SparkSession, d: str) -> DataFrame:
     t = M.transactions(spark, d)
     f = M.flows(t)
-    co = K.common_input(t.where(F.substring("txid", 2, 20).cast("long") % 23 == 0), max_inputs=3, min_outputs=3, cv=0.35)
-    return K.entity_labels(f.select("wallet").distinct(), co, None)
+    co = K.common_input(t, max_inputs=3, min_outputs=3, cv=0.35)
+    return K.entity_labels(f.select("wallet").distinct(), co, K.louvain(G.undirected(G.projection(f))))
 
 
 @query("entity_labels")
