@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tracegrid import registry
-from tracegrid.operators import clustering
+from tracegrid.operators import clustering, peeling
 from tracegrid.operators import graph as G
 from tracegrid.plans import model as M
 
@@ -40,3 +40,11 @@ def test_co_spent_wallets_of_all_transactions(spark, sf):
     assert {r.wallet for r in got if r.method == "louvain"} == communities - set(want)
     sizes = QUERIES["cluster_stats"](spark, sf).collect()
     assert sum(r.size for r in sizes) == len(got)
+
+
+def test_chains_are_picked_until_no_walk_is_left(spark):
+    """Each walk meets the next, and ranks fall along them: one walk a round, 70 rounds."""
+    n = 140
+    rows = [(f"s{i:03}", [f"t{i:03}", f"t{i + 1:03}"], 2, float(n - i)) for i in range(n)]
+    got = peeling.pick_chains(spark.createDataFrame(rows, "start string, txids array<string>, length int, value double")).collect()
+    assert sorted(r.start for r in got) == [f"s{i:03}" for i in range(0, n, 2)]
