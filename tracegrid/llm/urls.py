@@ -1,11 +1,11 @@
-"""URL filters: fixed rules first, then rules mined from labelled urls by FP-growth.
+"""URL filters: fixed rules first, then rules mined from labelled urls.
 
 A url's tokens are its host's labels, its registered name, its first path segments (numbers as one token), its
-file suffix, the names of its query's parameters and whether it has a fragment. Labelled urls, each with its
-class as one more item, are mined by Spark's FP-growth; a rule "tokens -> block" is kept if its support, its
-confidence and the lower end of that confidence's interval are high enough, and if none of its parts has a
-rule at least as confident (searched among the kept rules, from short to long). Kept rules match by an
-inverted index: each is filed under its rarest token, so a url only meets rules of tokens that it has.
+file suffix, the names of its query's parameters and whether it has a fragment. Labelled urls are mined level by
+level, as by Apriori; a rule "tokens -> block" is kept if its number of bad urls, its confidence and the lower end
+of that confidence's interval are high enough, and if none of its parts has a rule at least as confident. That
+is decided on the executors, and there is no limit on rules. Kept rules match by an inverted index: each is
+filed under its rarest token, so a url only meets rules of tokens that it has.
 
 Labels: a url is bad if its label has quality 0 or toxic 1. All labelled urls are mined, and all urls judged.
 
@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 
 #: Fixed values: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE, MIN_LOWER = 0.002, 12, 0.6, 0.5
-#: Rules beyond so many, the least confident, are pruned too: the index goes to every task.
-MAX_RULES = 20_000
+MIN_ROWS, MIN_CONFIDENCE, MIN_LOWER = 12, 0.6, 0.5
 _END = re.compile(r"[/?#]")
 _QUERY_OR_FRAGMENT = re.compile(r"[?#]")
 
@@ -79,29 +77,67 @@ def tokenized(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(run, "page_id long, tokens array<string>")
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[list[str], float, float]]:
-    """(tokens, confidence, support) of the kept rules for the class "block", from (tokens, bad)."""
-    from pyspark.ml.fpm import FPGrowth
-
-    items = labelled.select(F.array_union("tokens", F.array(F.when(F.col("bad") == 1, "class:block").otherwise("class:allow"))).alias("items")).persist()
-    try:
-        n, bad = items.agg(F.count("*"), F.coalesce(F.sum(F.array_contains("items", "class:block").cast("int")), F.lit(0))).first()
-        if not n or not bad:
-            return []
-        model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_ROWS / n), minConfidence=min_confidence).fit(items)
-        rules = model.associationRules.where(F.array_contains("consequent", "class:block") & ~F.exists("antecedent", lambda t: t.startswith("class:")))
-        # Wilson's lower end for the confidence, at two standard errors.
-        seen = F.col("support") * n / F.col("confidence")
-        lower = (F.col("confidence") + 2 / seen - 2 * F.sqrt(F.col("confidence") * (1 - F.col("confidence")) / seen + 1 / seen**2)) / (1 + 4 / seen)
-        top = rules.where(lower >= MIN_LOWER).orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_join("antecedent", " ")).limit(MAX_RULES).collect()
-    finally:
-        items.unpersist()
-    kept: list[tuple[frozenset, float, float]] = []
-    for r in sorted(top, key=lambda r: (len(r.antecedent), sorted(r.antecedent))):
-        parts = frozenset(r.antecedent)
-        if not any(k <= parts and c >= r.confidence for k, c, _ in kept):
-            kept.append((parts, r.confidence, r.support))
-    return [(sorted(k), c, s) for k, c, s in kept]
+def _sets(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["row", "n", "bad", "items"])
+
+
+def _extended(batches):
+    """(row, n, bad, items) for the sets with one more token than a row's alive sets, if all their parts are alive; from (row, n, bad, sets)."""
+    for batch in batches:
+        out = []
+        for row, n, bad, sets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            alive = {tuple(x) for x in sets}
+            ends: dict[tuple, list] = {}
+            for x in sorted(alive):
+                ends.setdefault(x[:-1], []).append(x[-1])
+            for head, last in ends.items():
+                for i, x in enumerate(last):
+                    for y in last[i + 1 :]:
+                        new = (*head, x, y)
+                        if all((*new[:k], *new[k + 1 :]) in alive for k in range(len(head))):
+                            out.append((row, n, bad, list(new)))
+                if len(out) >= 10_000:
+                    yield _sets(out)
+                    out = []
+        if out:
+            yield _sets(out)
+
+
+def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[list[str], float, float]]:
+    """(tokens, confidence, support) of the kept rules for the class "block", from (tokens, bad).
+
+    Sets of tokens grow by one token a level. A set is alive, and grows, if enough bad rows have it, if each part
+    of it has more rows, and if no part of it is a rule of confidence 1: all that contain any other set are as
+    redundant as itself. So tokens that always come together give one set, not all their combinations.
+    """
+    rows = stage(labelled.groupBy("tokens").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")).withColumn("row", F.monotonically_increasing_id()), "urls-rows")
+    total, bad = rows.agg(F.sum("n"), F.sum("bad")).first()
+    if not total or bad < MIN_ROWS:
+        return []
+    # Wilson's lower end for the confidence, at two standard errors.
+    c, n = F.col("bad") / F.col("n"), F.col("n")
+    lower = (c + 2 / n - 2 * F.sqrt(c * (1 - c) / n + 1 / n**2)) / (1 + 4 / n)
+    own = F.when((c >= min_confidence) & (lower >= MIN_LOWER), c).otherwise(0.0).alias("own")
+
+    def sums(held: DataFrame) -> DataFrame:
+        return held.groupBy("items").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("bad") >= MIN_ROWS)
+
+    held = rows.select("row", "n", "bad", F.explode("tokens").alias("t")).select("row", "n", "bad", F.array("t").alias("items"))
+    # own: a set's confidence if it is a rule, else 0; upto: the highest among its parts.
+    level = stage(sums(held).select("items", "n", "bad", own, F.lit(0.0).alias("upto")), "urls-level")
+    kept: list[tuple[list[str], float, float]] = []
+    while True:
+        kept += [(list(r["items"]), r.own, r.bad / total) for r in level.where("own > upto").select("items", "own", "bad").collect()]
+        alive = level.where("own < 1")
+        if alive.limit(2).count() < 2:
+            return sorted(kept, key=lambda k: (len(k[0]), k[0]))
+        sets = held.join(alive.select("items"), "items").groupBy("row").agg(F.first("n").alias("n"), F.first("bad").alias("bad"), F.collect_list("items").alias("sets")).where("size(sets) > 1")
+        held = stage(sets, "urls-sets").select("row", "n", "bad", "sets").mapInArrow(_extended, "row long, n long, bad long, items array<string>")
+        parts = sums(held).select("items", "n", "bad", F.explode(F.transform("items", lambda x: F.array_except("items", F.array(x)))).alias("part"))
+        known = alive.select(F.col("items").alias("part"), F.col("n").alias("part_n"), F.greatest("own", "upto").alias("best"))
+        met = parts.join(known, "part").groupBy("items").agg(F.first("n").alias("n"), F.first("bad").alias("bad"), F.min("part_n").alias("part_n"), F.max("best").alias("upto"))
+        level = stage(met.where("n < part_n").select("items", "n", "bad", own, "upto"), "urls-level")
 
 
 def inverted(rules: list[tuple[list[str], float, float]], pages_with: dict[str, int]) -> dict[str, list[frozenset]]:
