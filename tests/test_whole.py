@@ -93,3 +93,9 @@ def test_rare_bad_hosts_and_noisy_families_are_blocked(spark):
     pages = [(i, page(i)) for i in range(9000)]
     out = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([(i, int(not bad(i)), 0) for i in range(9000)], "doc_id long, quality int, toxic int"))
     assert {r.page_id for r in out.collect() if r.verdict == "block"} == set(range(815))
+
+
+def test_later_path_segments_give_rules(spark):
+    pages = [(i, f"http://a.org/en/2020/{'casino' if i % 2 else 'news'}/x{i}/y") for i in range(400)]
+    out = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int"))
+    assert {r.page_id for r in out.collect() if r.verdict == "block"} == {i for i in range(400) if i % 2}

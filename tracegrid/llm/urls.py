@@ -1,7 +1,7 @@
 """URL filters: fixed rules first, then rules mined from labelled urls.
 
-A url's tokens are its host's labels, its registered name, its first path segments (numbers as one token), its
-file suffix, the names of its query's parameters and whether it has a fragment. Labelled urls are mined level by
+A url's tokens are its host's labels, its registered name, its path segments with their places (numbers as one
+token), its file suffix, the names of its query's parameters and whether it has a fragment. Labelled urls are mined level by
 level, as by Apriori; a rule "tokens -> block" is kept if its number of bad urls, its confidence and the lower end
 of that confidence's interval are high enough, and if none of its parts has a rule at least as confident. That
 is decided on the executors, and there is no limit on rules. Kept rules match by an inverted index: each is
@@ -56,7 +56,7 @@ def tokens(url: str | None) -> list[str]:
     labels = host.split(".")
     out = {f"host:{x}" for x in labels if x} | {"name:" + ".".join(labels[-2:])}
     segments = [x for x in path.split("/") if x]
-    out |= {f"path{i}:{'#' if x.split('.')[0].isdigit() else x}" for i, x in enumerate(segments[:2])}
+    out |= {f"path{i}:{'#' if x.split('.')[0].isdigit() else x}" for i, x in enumerate(segments)}
     if segments and "." in segments[-1]:
         out.add("suffix:" + segments[-1].rpartition(".")[2])
     tail = url[url.find("://") + 3 :]
