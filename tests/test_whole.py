@@ -11,7 +11,7 @@ import pytest
 
 from tracegrid import registry
 from tracegrid.llm import urls
-from tracegrid.operators import clustering, peeling
+from tracegrid.operators import clustering, iterate, peeling
 from tracegrid.operators import graph as G
 from tracegrid.plans import model as M
 
@@ -99,3 +99,28 @@ def test_later_path_segments_give_rules(spark):
     pages = [(i, f"http://a.org/en/2020/{'casino' if i % 2 else 'news'}/x{i}/y") for i in range(400)]
     out = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int"))
     assert {r.page_id for r in out.collect() if r.verdict == "block"} == {i for i in range(400) if i % 2}
+
+
+def test_shortest_paths_have_no_hop_limit_and_all_goals(spark):
+    """A line of 18 wallets with a side branch, and a goal that isn't reached."""
+    edges = [(f"w{i:02}", f"w{i + 1:02}") for i in range(17)] + [("w03", "x"), ("x", "w05"), ("u", "v")]
+    goals = ["w05", "w17", "v", "x", "w01", "w02", "w16"]
+    got = {r.id: r.path for r in iterate.shortest_path(spark.createDataFrame(edges, "source string, target string"), "w00", spark.createDataFrame([(g,) for g in goals], "id string")).collect()}
+    line = [f"w{i:02}" for i in range(18)]
+    assert got == {f"w{i:02}": line[: i + 1] for i in (1, 2, 5, 16, 17)} | {"x": [*line[:4], "x"]}
+
+
+def test_paths_to_seeds_follow_the_wallet_projection(spark, sf):
+    f = M.flows(M.transactions(spark, sf))
+    near: dict[str, set[str]] = {}
+    for r in G.undirected(G.projection(f)).where("a <> b").collect():
+        near.setdefault(r.a, set()).add(r.b)
+        near.setdefault(r.b, set()).add(r.a)
+    start = min(r.wallet for r in f.where("side = 'in'").collect())
+    hops, frontier = {start: 0}, [start]
+    while frontier:
+        frontier = sorted({y for x in frontier for y in near.get(x, ())} - set(hops))
+        hops |= dict.fromkeys(frontier, max(hops.values()) + 1)
+    got = QUERIES["shortest_paths_to_seed"](spark, sf).collect()
+    assert {r.seed: r.hops for r in got} == {r.wallet: hops[r.wallet] for r in M.seeds(spark, sf).collect() if r.wallet in hops and r.wallet != start}
+    assert all(r.path[0] == start and r.path[-1] == r.seed and all(y in near[x] for x, y in zip(r.path, r.path[1:], strict=False)) for r in got)

@@ -116,15 +116,28 @@ def hub_proximity(pairs: DataFrame, seeds: DataFrame, decay: float = config.RISK
     return best.where(F.col("hops") <= max_hops).select("id", F.exp(-F.col("dist")).alias("proximity"), "hops")
 
 
-def shortest_path(edges: DataFrame, start: str, goals: list[str], max_hops: int = 12) -> dict[str, list[str]]:
-    """For each goal that start reaches, the path with fewest hops (ties by the smallest parent)."""
+def shortest_path(edges: DataFrame, start: str, goals: DataFrame) -> DataFrame:
+    """(id, path): for each of goals (id) that start reaches, the path with fewest hops (ties by the smallest parent).
+
+    The search goes on until its frontier is empty; only parents are kept, and paths are walked back from the goals.
+    """
     prepared(edges.sparkSession)
-    adj = edges.select(F.col("source").alias("id"), F.col("target").alias("to")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("to"))).where("id <> to").distinct()
-    seen = edges.sparkSession.createDataFrame([(start, [start])], "id string, path array<string>").checkpoint()
-    frontier = seen
-    for _ in range(max_hops):
-        frontier = adj.join(frontier, "id").groupBy(F.col("to")).agg(F.min_by("path", "id").alias("path")).select(F.col("to").alias("id"), F.concat("path", F.array("to")).alias("path")).join(seen, "id", "left_anti").checkpoint()
+    adj = edges.select(F.col("source").alias("id"), F.col("target").alias("to")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("to"))).where("id <> to").distinct().checkpoint()
+    seen = edges.sparkSession.createDataFrame([(start, None)], "id string, parent string").checkpoint()
+    frontier, hops = seen, 0
+    while True:
+        frontier = adj.join(frontier.select("id"), "id").groupBy(F.col("to")).agg(F.min("id").alias("parent")).select(F.col("to").alias("id"), "parent").join(seen, "id", "left_anti").checkpoint()
         if not frontier.limit(1).count():
             break
+        hops += 1
         seen = seen.unionByName(frontier)
-    return {r.id: list(r.path) for r in seen.where(F.col("id").isin(goals)).collect()}
+        if hops % 16 == 0:  # else the plan grows with the hops
+            seen = seen.coalesce(32).checkpoint()
+    seen = seen.checkpoint()
+    back = seen.select(F.col("id").alias("at"), "parent")
+    trail = goals.select("id").distinct().join(seen.select("id"), "id", "left_semi").select("id", F.array("id").alias("path"), F.col("id").alias("at"))
+    for h in range(hops):
+        trail = trail.join(back, "at", "left").select("id", F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat(F.array("parent"), F.col("path"))).alias("path"), F.col("parent").alias("at"))
+        if h % 8 == 7:
+            trail = trail.checkpoint()
+    return trail.select("id", "path")

@@ -163,11 +163,11 @@ def _(spark, d):
 
 @query("shortest_paths_to_seed")
 def _(spark, d):
-    e = edges(spark, d)
-    start = e.where("edge_type = 'in'").agg(F.min("source")).first()[0]
-    goals = [r.wallet for r in M.seeds(spark, d).orderBy("wallet").limit(5).collect()]
-    paths = I.shortest_path(e, start, goals)
-    return spark.createDataFrame([(g, len(p) - 1, p) for g, p in sorted(paths.items())], "seed string, hops int, path array<string>")
+    f = flows(spark, d)
+    start = f.where("side = 'in'").agg(F.min("wallet")).first()[0]
+    pairs = G.undirected(G.projection(f)).select(F.col("a").alias("source"), F.col("b").alias("target"))
+    goals = M.seeds(spark, d).where(F.col("wallet") != F.lit(start)).select(F.col("wallet").alias("id"))
+    return I.shortest_path(pairs, start, goals).select(F.col("id").alias("seed"), (F.size("path") - 1).alias("hops"), "path")
 
 
 # ----------------------------------------------------------------- clusters
