@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -124,3 +125,23 @@ def test_paths_to_seeds_follow_the_wallet_projection(spark, sf):
     got = QUERIES["shortest_paths_to_seed"](spark, sf).collect()
     assert {r.seed: r.hops for r in got} == {r.wallet: hops[r.wallet] for r in M.seeds(spark, sf).collect() if r.wallet in hops and r.wallet != start}
     assert all(r.path[0] == start and r.path[-1] == r.seed and all(y in near[x] for x, y in zip(r.path, r.path[1:], strict=False)) for r in got)
+
+
+def test_links_of_all_orders(spark, sf):
+    orders = sorted((r.o_orderkey, r.o_orderstatus) for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus").collect())
+    hashes = ["0" * 64] + [hashlib.sha256(f"{s}{k}".encode()).hexdigest() for k, s in orders]
+    assert {r.o_orderkey: r.prev for r in QUERIES["chain_links"](spark, sf).collect()} == {k: h for (k, _), h in zip(orders, hashes, strict=False)}
+
+
+def test_components_of_the_graph(spark, sf):
+    root: dict[str, str] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in M.flows(M.transactions(spark, sf)).collect():
+        a, b = find(r.txid), find(r.wallet)
+        root[max(a, b)] = min(a, b)
+    assert {r.node: r.component for r in QUERIES["graph_components"](spark, sf).collect()} == {x: find(x) for x in root}

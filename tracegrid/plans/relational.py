@@ -458,6 +458,18 @@ def _(spark, d):
     return o.select("o_orderkey", F.lag("h", 1, "0" * 64).over(W.orderBy("o_orderkey")).alias("prev"))
 
 
+@query("chain_links")
+def _(spark, d):
+    """chain_link_check over all orders, in ranges of the key; each starts from the last hash of the range before."""
+    o = M.table(spark, d, "orders").select("o_orderkey", F.sha2(F.concat("o_orderstatus", F.col("o_orderkey").cast("string")), 256).alias("h"))
+    cuts = sorted(set(o.stat.approxQuantile("o_orderkey", [i / 64 for i in range(1, 64)], 0.005)))
+    part = F.aggregate(F.array(*(F.lit(c) for c in cuts)), F.lit(0), lambda a, c: a + F.when(F.col("o_orderkey") > c, 1).otherwise(0)) if cuts else F.lit(0)
+    o = o.withColumn("part", part)
+    ends = o.groupBy("part").agg(F.max_by("h", "o_orderkey").alias("last")).select("part", F.lag("last", 1, "0" * 64).over(W.orderBy("part")).alias("before"))  # 64 rows
+    lag = F.lag("h").over(W.partitionBy("part").orderBy("o_orderkey"))
+    return o.withColumn("prev", lag).join(F.broadcast(ends), "part").select("o_orderkey", F.coalesce("prev", "before").alias("prev"))
+
+
 @query("diversity_rank", "SELECT o_orderkey, o_orderpriority, p FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) p FROM orders) ORDER BY CASE WHEN p <= 2 THEN 0 ELSE 1 END, o_totalprice DESC, o_orderkey LIMIT 60", model=False)
 def _(spark, d):
     p = F.row_number().over(W.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey"))

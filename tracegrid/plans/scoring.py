@@ -121,6 +121,12 @@ def _(spark, d):
     return I.connected_components(pairs)
 
 
+@query("graph_components")
+def _(spark, d):
+    """weak_components over the edges of the graph; the SQL of that one knows nations only."""
+    return I.connected_components(edges(spark, d).select(F.col("source").alias("src"), F.col("target").alias("dst")))
+
+
 def pagerank_sql(rounds: int, seeded: bool) -> str:
     """Power iteration unrolled: nodes and edges of the wallet projection."""
     out = f"{PROJ}, mu AS MATERIALIZED (SELECT src, dst, count(*) k FROM pr GROUP BY 1, 2), od AS (SELECT src id, sum(k) out FROM mu GROUP BY 1), "
