@@ -8,13 +8,15 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from tracegrid import registry
 from tracegrid.llm import urls
-from tracegrid.operators import clustering, iterate, peeling
+from tracegrid.operators import anomaly, clustering, features, iterate, peeling
 from tracegrid.operators import graph as G
 from tracegrid.plans import model as M
+from tracegrid.plans import scoring
 
 QUERIES = registry.queries()
 
@@ -145,3 +147,51 @@ def test_components_of_the_graph(spark, sf):
         a, b = find(r.txid), find(r.wallet)
         root[max(a, b)] = min(a, b)
     assert {r.node: r.component for r in QUERIES["graph_components"](spark, sf).collect()} == {x: find(x) for x in root}
+
+
+def power(near: Counter, nodes: list[str], seeds: set[str]) -> dict[str, float]:
+    """PageRank to the reference's convergence, restarts and dangling mass to seeds (or anywhere)."""
+    at = {x: i for i, x in enumerate(nodes)}
+    a = np.zeros((len(nodes), len(nodes)))
+    for (x, y), k in near.items():
+        a[at[y], at[x]] += k
+    out = a.sum(0)
+    p = np.array([float(not seeds or x in seeds) for x in nodes])
+    p /= p.sum()
+    rank = p
+    for _ in range(100):
+        new = 0.85 * (a @ np.divide(rank, out, where=out > 0, out=np.zeros(len(nodes))) + rank[out == 0].sum() * p) + 0.15 * p
+        change, rank = np.abs(new - rank).sum(), new
+        if change < len(nodes) * 1e-6:
+            break
+    return dict(zip(nodes, rank.tolist(), strict=True))
+
+
+def test_ranks_converge(spark, sf):
+    f = M.flows(M.transactions(spark, sf))
+    near = Counter((r.src, r.dst) for r in G.projection(f).collect())
+    nodes = sorted({r.wallet for r in f.collect()})
+    seeds = {r.wallet for r in M.seeds(spark, sf).collect()} & set(nodes)
+    assert {r.id: r.rank for r in QUERIES["pagerank_converged"](spark, sf).collect()} == pytest.approx(power(near, nodes, set()), abs=2e-9)
+    want = power(near, nodes, seeds)
+    want = {x: r / max(want.values()) for x, r in want.items()}
+    assert {r.id: r.rank for r in QUERIES["ppr_seeds_converged"](spark, sf).collect()} == pytest.approx(want, abs=2e-9)
+    assert {r.wallet: r.risk_pagerank for r in QUERIES["risk_blend"](spark, sf).collect()} == pytest.approx(want, abs=2e-9)
+
+
+def test_many_rounds_end(spark):
+    """A line of 40 nodes: size estimates that grow with each round made such loops endless."""
+    pairs = [(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(39)]
+    df = spark.createDataFrame(pairs, "a string, b string, weight double")
+    got = {r.id: r.proximity for r in iterate.hub_proximity(df, spark.createDataFrame([("n00",)], "id string"), max_hops=40).collect()}
+    assert got == pytest.approx({f"n{i:02}": 0.7**i for i in range(40)})
+
+
+def test_detectors_have_their_configured_size(spark, sf):
+    f = features.transaction_features(M.transactions(spark, sf))
+    want = {r.txid: r.iso for r in anomaly.isolation_forest(f, "txid", scoring.ANOMALY_COLUMNS, trees=200).collect()}
+    assert {r.txid: r.iso for r in QUERIES["iforest"](spark, sf).collect()} == pytest.approx(want, abs=1e-6)
+    want = anomaly.permutation_importance(f, "txid", scoring.ANOMALY_COLUMNS, repeats=3, rows=2048, trees=200)
+    assert {r.feature: r.importance for r in QUERIES["perm_importance"](spark, sf).collect()} == pytest.approx(want)
+    pairs = G.undirected(G.projection(M.flows(M.transactions(spark, sf))))
+    assert {tuple(r) for r in QUERIES["louvain"](spark, sf).collect()} == {tuple(r) for r in clustering.louvain(pairs, rounds=10, levels=4).collect()}

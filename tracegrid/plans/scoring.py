@@ -152,6 +152,21 @@ def _(spark, d):
     return R.seed_pagerank(G.projection(f), f.select("wallet"), here, rounds=8).select(F.col("wallet").alias("id"), M.rnd(F.col("risk_pagerank"), 9).alias("rank"))
 
 
+@query("pagerank_converged")
+def _(spark, d):
+    """pagerank until it converges; the SQL of that one has eight rounds."""
+    f = flows(spark, d)
+    return I.pagerank(G.projection(f).select(F.col("src").alias("source"), F.col("dst").alias("target")), f.select(F.col("wallet").alias("id"))).select("id", M.rnd(F.col("rank"), 9).alias("rank"))
+
+
+@query("ppr_seeds_converged")
+def _(spark, d):
+    """ppr_seeds until it converges; the SQL of that one has eight rounds."""
+    f = flows(spark, d)
+    here = M.seeds(spark, d).join(f.select("wallet").distinct(), "wallet", "left_semi")
+    return R.seed_pagerank(G.projection(f), f.select("wallet"), here).select(F.col("wallet").alias("id"), M.rnd(F.col("risk_pagerank"), 9).alias("rank"))
+
+
 def proximity_sql(rounds: int = 12) -> str:
     base = -math.log(config.RISK_DECAY)
     out = f"{UND}, dg AS (SELECT id, count(*) d FROM (SELECT unnest([a, b]) id FROM un) GROUP BY id), pe AS (SELECT id, CASE WHEN d > 15 THEN ln(1 + d / 15) ELSE 0 END pen FROM dg), "
@@ -167,6 +182,12 @@ def _(spark, d):
     return found.where("proximity >= 0.01").select("id", r6("proximity"))
 
 
+@query("hub_proximity_all")
+def _(spark, d):
+    """hub_proximity however small; the SQL of that one leaves out what is below 0.01."""
+    return R.proximity(G.undirected(G.projection(flows(spark, d))), M.seeds(spark, d)).select("id", F.col("proximity"), "hops")
+
+
 @query("shortest_paths_to_seed")
 def _(spark, d):
     f = flows(spark, d)
@@ -226,7 +247,7 @@ def _(spark, d):
 
 @query("louvain")
 def _(spark, d):
-    return K.louvain(G.undirected(G.projection(flows(spark, d))), levels=2, rounds=6)
+    return K.louvain(G.undirected(G.projection(flows(spark, d))))
 
 
 @query("modularity", f"{UND}, m AS (SELECT sum(weight) m FROM un), lb AS (SELECT a, b, weight, substr(a, length(a)) ca, substr(b, length(b)) cb FROM un), k AS (SELECT c, sum(weight) k FROM (SELECT unnest([ca, cb]) c, weight FROM lb) GROUP BY c) SELECT floor(((SELECT sum(weight) FROM lb WHERE ca = cb) / m - (SELECT sum(k * k) FROM k) / (4 * m * m)) * 1e6 + 0.5) / 1e6 q FROM m")
@@ -330,13 +351,13 @@ def _(spark, d):
 @query("iforest")
 def _(spark, d):
     f = X.transaction_features(M.transactions(spark, d))
-    return N.isolation_forest(f, "txid", ANOMALY_COLUMNS, trees=50).select("txid", r6("iso"))
+    return N.isolation_forest(f, "txid", ANOMALY_COLUMNS).select("txid", r6("iso"))
 
 
 @query("perm_importance")
 def _(spark, d):
     f = X.transaction_features(M.transactions(spark, d))
-    return spark.createDataFrame(sorted(N.permutation_importance(f, "txid", ANOMALY_COLUMNS, repeats=1, rows=512, trees=20).items()), "feature string, importance double")
+    return spark.createDataFrame(sorted(N.permutation_importance(f, "txid", ANOMALY_COLUMNS).items()), "feature string, importance double")
 
 
 LOF_SQL = """WITH v AS (SELECT vec_id, embedding FROM embeddings), p AS (SELECT a.vec_id a, b.vec_id b, sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE)))) dd FROM v a JOIN v b ON a.vec_id <> b.vec_id),
@@ -379,7 +400,7 @@ def _(spark, d):
     f = flows(spark, d)
     proj = G.projection(f)
     here = M.seeds(spark, d).join(f.select("wallet").distinct(), "wallet", "left_semi")
-    ppr = R.seed_pagerank(proj, f.select("wallet"), here, rounds=8)
+    ppr = R.seed_pagerank(proj, f.select("wallet"), here)
     return R.blended(f.select("wallet").distinct(), ppr, R.proximity(G.undirected(proj), here), here)
 
 
