@@ -243,28 +243,56 @@ def test_jaccard_components(spark, sf, texts, edge, empty):
     assert jaccard.components(empty).count() == 0
 
 
-def test_jaccard_large_cells_use_the_tree(spark, monkeypatch):
-    """A passage that makes up most of many texts, so that cells are large and hold several components."""
-    monkeypatch.setattr(jaccard, "SMALL", 2)
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
+def test_jaccard_keys_rows_by_their_text(spark):
+    """Rows that share an id but not a text, null ids, equal rows, extra columns with clashing names."""
+    b, c = (" ".join(f"{p}{i}" for i in range(40)) for p in "bc")
+    rows = [(3, b), (3, c), (4, b + " x"), (5, c + " x"), (None, b), (None, "q r s"), (6, "q r s"), (None, "lone words"), (3, b), (9, None), (None, "")]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, id int, component_id int")
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.components(df).collect())
+    assert got == Counter([(3, 3)] * 3 + [(4, 3), (5, 3), (None, 3), (None, 6), (6, 6), (None, None), (9, 9), (None, None)])
+    left = Counter((r.doc_id, r.text) for r in jaccard.without_copies(df.select("doc_id", "text")).collect())
+    assert left == Counter([(3, b), (3, c), (6, "q r s"), (None, "lone words"), (9, None), (None, "")])
+
+
+@pytest.mark.parametrize(("block", "few", "frequent"), [(8, 8, 128), (8, 0, 10**6), (2048, 0, 10), (16, 1, 40)])
+def test_jaccard_large_tiles(spark, monkeypatch, block, few, frequent):
+    """Passages that make up most of many texts, and a group of copies that link through one text alone."""
+    for name, value in (("BLOCK", block), ("FEW", few), ("FREQUENT", frequent), ("ROWS", 64)):
+        monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(7)
     shared = [f"s{i}" for i in range(60)]
-    docs = {}
-    for i in range(60):
-        docs[i] = " ".join(shared + [f"u{rng.randrange(10**6)}" for _ in range(rng.choice([2, 8, 14, 20]))])
+    docs = {i: " ".join(shared + [f"u{rng.randrange(10**6)}" for _ in range(rng.choice([2, 8, 14, 20]))]) for i in range(60)}
+    base = [f"t{i}" for i in range(100)]
+    for i in range(60, 110):
+        copy = list(base)
+        for k in rng.sample(range(0, 100, 10), 2 if i > 60 else 0):
+            copy[k] = f"v{rng.randrange(10**6)}"
+        docs[i] = " ".join(copy)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(df).collect()} == brute_components(docs)
 
 
+def test_frequencies_count_all_texts(spark):
+    docs = spark.createDataFrame([(i, f"common words of every text here {i}") for i in range(300)], "doc_id long, text string").repartition(5)
+    bits, bins, levels = jaccard.frequent(docs)
+    common = jaccard.shingles("common words of every text here") & np.uint64((1 << bits) - 1)
+    assert sorted(bins.tolist()) == sorted(common.tolist()) and set(levels.tolist()) == {9}
+
+
 def test_tree_join_loses_no_pair():
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 2**63, (12, 300)).astype(np.uint64)
-    sets = [np.unique(np.r_[base[i % 12][: rng.integers(200, 300)], rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)]) for i in range(150)]
+    base = rng.integers(0, 2**63, (12, 300)).astype(np.uint64) << np.uint64(1)
+    sets = [np.unique(np.r_[base[i % 12][: rng.integers(200, 300)], rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64) << np.uint64(1)]) for i in range(150)]
     points, sizes = np.stack([rtree.count_vector(s) for s in sets]), np.array([len(s) for s in sets])
-    tree = rtree.RTree(points, sizes, np.arange(150))
-    found = {(min(a, b), max(a, b)) for x, y in tree.join(tree, 75, 100) for a, b in zip(x.tolist(), y.tolist(), strict=True) if a != b}
     linked = {(a, b) for a in range(150) for b in range(a + 1, 150) if (o := len(np.intersect1d(sets[a], sets[b]))) * 100 >= 75 * (sizes[a] + sizes[b] - o)}
-    assert linked and linked <= found and len(found) < 150 * 149 / 4
+    tree = np.arange(150) // 70  # three trees in one forest
+    forest = rtree.Forest(tree, points, sizes, np.arange(150))
+    found = Counter((min(a, b), max(a, b)) for x, y in forest.join(np.array([0, 1, 2, 0, 0, 1]), np.array([0, 1, 2, 1, 2, 2]), 75, 100) for a, b in zip(x.tolist(), y.tolist(), strict=True))
+    assert linked and linked <= set(found) and len(found) < 150 * 149 / 4 and set(found.values()) == {1}
+    marked = rtree.Forest(tree, points, sizes, np.arange(150) % 12)
+    assert all(u % 12 != v % 12 for x, y in marked.join(np.array([0, 0]), np.array([0, 1]), 75, 100) for u, v in zip(x.tolist(), y.tolist(), strict=True))
+    wide = rtree.unpack_vectors([rtree.pack_vector(np.full(256, 300)), rtree.pack_vector(np.full(256, 3))])
+    assert wide.tolist() == [[300] * 256, [3] * 256]
 
 
 # ----------------------------------------------------------------- 7 bpe, and the word encoder

@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{os.path.join(tempfile.gettempdir(), 'tracegrid-' + uuid.uuid4().hex)}"
         spark.sparkContext.setCheckpointDir(where)
         return spark.sparkContext.getCheckpointDir()
@@ -48,6 +50,15 @@ def stage(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids that may be broadcast (8 bytes each, some 40 in a hashed relation).
+BROADCAST_ROWS = 1 << 20
+
+
+def bounded_broadcast(ids: DataFrame) -> DataFrame:
+    """ids, which must be staged or cheap to count, marked for a broadcast only if it is small; else joined by a shuffle."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
 def text_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for whole texts of any length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -68,17 +79,21 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sche
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node id reachable over undirected edges, for every node with an edge.
 
-    Alternating large-star and small-star rounds; each is one or two shuffles keyed by node with map-side
-    minima, and each round's edges go to a checkpoint, so lost executors cost at most a round. Self-loops keep
-    their node; null ends are ignored; no edges give an empty result.
+    Alternating large-star and small-star rounds; each is a few shuffles keyed by node with map-side minima, and
+    each round's edges are written to the shared folder once, so lost executors cost at most a round. Self-loops
+    keep their node; null ends are ignored; no edges give an empty result.
     """
-    spark = edges.sparkSession
-    shared_dir(spark)
     e = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null")
-    loops = e.where("u = v").select("u").distinct()
-    e = e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    state = None
-    for _ in range(max_rounds):
+    e = stage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    loops, e = e.where("u = v").select("u"), e.where("u <> v")
+    for done in range(max_rounds + 1):
+        # Done when every node above another is tied to one node, which is tied to none.
+        ends = e.select("u", F.lit(1).alias("above"), F.lit(0).alias("below")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("above"), F.lit(1).alias("below")))
+        ends = ends.groupBy("u").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+        if not ends.where("above > 1 or above = 1 and below = 1").limit(1).count():
+            break
+        if done == max_rounds:
+            raise RuntimeError(f"components are not closed after {max_rounds} rounds")
         # Large star: every neighbour above u is tied to the smallest node around u.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -86,11 +101,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         # Small star: every lower neighbour of u, and u, are tied to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("x"))
-        e = small.select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct().checkpoint()
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
-        if tuple(now) == state or now[0] == now[2] and e.alias("a").join(e.alias("b"), F.col("a.v") == F.col("b.u")).limit(1).count() == 0:
-            break
-        state = tuple(now)
-    found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).unionByName(loops.select(F.col("u").alias("node"), F.col("u").alias("component")))
-    return found.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
+        e = stage(small.select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct(), "edges")
+    roots = e.select(F.col("v").alias("u")).unionByName(loops).distinct().select(F.col("u").alias("node"), F.col("u").alias("component"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))

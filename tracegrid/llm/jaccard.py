@@ -1,22 +1,25 @@
 """N-gram Jaccard self-join by count vectors: which whole texts share 75 % of their five-word shingles.
 
-1. Texts with equal shingle sets collapse to one representative (128-bit digest of the set).
-2. Routing, which loses no link: a set orders its shingles from rare to frequent (frequencies over the whole
-   corpus, hashed into a table of fixed size; any order is exact) and goes to the cells of its first
-   n - ceil(0.75 n) + 1 shingles. Two sets that link have a cell in common.
-3. Count vectors: shingles are hashed into groups, and a set's group counts are a point. Pairs from cells of at
-   most ``SMALL`` sets are bounded point by point: the sum of coordinate minima must reach 3/7 of both sizes.
-   Pairs that survive are verified on the shingles themselves; first one partner for each set, then only
-   pairs whose sets aren't connected yet, as the result is components.
-4. A larger cell first ties each set to the cell's smallest. If its sets then lie in more than one component,
-   the cell's points are indexed in packed R-trees (blocks of ``BLOCK`` points; every pair of blocks is
-   joined), whose joins drop nodes by the same bound and skip sets of one component. Survivors are verified.
-
-No partner, candidate or cell is capped. Shingles are 64-bit hashes of five word hashes.
+1. Texts with equal shingle sets collapse to one representative (128-bit digest of the set); what follows is keyed by
+   the representative's row, never by doc_id.
+2. Tiles, which lose no link: a set orders its shingles from rare to frequent and goes to the cells of its first
+   n - ceil(0.75 n) + 1. Two sets that link share a cell. The smallest row of a cell leads it, and all cells with
+   one leader are one tile, so sets with many cells in common meet once. Frequencies are counts of all shingles of
+   the corpus in hashed bins; any order is exact, this one keeps common passages from making tiles.
+3. Shingles are hashed into groups, and a set's group counts are a point. Every tile's points, whatever their
+   number, are packed into R-trees (blocks of ``BLOCK`` points, every pair of blocks) that are joined under the
+   bound on the overlap: the sum of coordinate minima must reach 3/7 of both sizes.
+4. Survivors are verified on the shingles themselves. A tile whose trees would give more than ``FEW`` pairs for each
+   set is full of near copies: it first ties its sets to the one nearest their mean, and is joined again once
+   components are known, skipping pairs and whole nodes of one component.
+
+No partner, candidate, cell or tile is capped. Shingles are 64-bit hashes of five word hashes.
 
 Edge cases: a null or empty text, or one without words, has no shingles and stands alone; fewer than five words
-are one shingle; repeated rows get their id's component; a null doc_id gets a null component; an empty table
-gives no rows; other columns are ignored.
+are one shingle. Rows link by their texts alone: repeated rows link as equal texts do, rows of one doc_id with
+different texts are different sets. component_id is the smallest doc_id that isn't null in the row's component, null
+if there is none. An empty table gives no rows; input columns named like an output are replaced, others are
+ignored unless carried.
 """
 
 from __future__ import annotations
@@ -26,19 +29,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, stage, table, text_batches
-from .rtree import RTree, count_vector, may_link, pack_vector, unpack_vectors
+from .common import bounded_broadcast, connected_components, stage, table, text_batches
+from .rtree import Forest, count_vector, may_link, overlap_bound, pack_vector, unpack_vectors
 
 WIDTH = 5
 P, Q = 75, 100
-SMALL = 16
 BLOCK = 2048
-#: Buckets of the table of frequencies, and of the filter of ids whose texts are read again. Both are fixed.
-BUCKETS = 1 << 20
-FREQUENT = 1 << 16
+#: Pairs of a tile for each of its sets beyond which its sets are tied to one of them first.
+FEW = 8
+#: A shingle of fewer sets than this makes small cells; beyond it, order matters.
+FREQUENT = 128
+#: Bins of the table of frequencies: about 64 a text, between these powers of two; counted in slices of 2**18.
+MIN_BINS, MAX_BINS, SLICE = 20, 28, 18
+#: Bins that are passed to the tasks, the most frequent first (8 bytes each); others count as rare, which is exact too.
+LISTED = 1 << 20
+CHUNK = 1 << 22
 WORD_CACHE = 500_000
 #: Cells are named by so many bits of a shingle; texts that meet in a cell by chance fail the bound.
 CELL_BITS = 44
+#: Rows that a task of the tiles' join holds at once, besides one pair of blocks.
+ROWS = 1 << 14
 
 _words: dict[bytes, int] = {}
 
@@ -73,247 +83,324 @@ def prefix_length(n: int) -> int:
     return n - -(-P * n // Q) + 1 if n else 0
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Levels of the hash buckets that are frequent in the corpus: log2 of their count, 0 for the rest.
+def frequent(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """(bits, bins, levels): the hashed bins that hold frequent shingles, and the log2 of their counts over all texts.
 
-    Every task counts all its shingles; it reports buckets well above its mean. At most FREQUENT are kept.
+    Tasks send their counts as compressed slices of the table of bins, a few bits for each shingle.
     """
+    spark = docs.sparkSession
+    bits = min(MAX_BINS, max(MIN_BINS, (64 * docs.count()).bit_length()))
+    mask, per = np.uint64((1 << bits) - 1), 1 << SLICE
 
     def count(batches):
-        total = np.zeros(BUCKETS, dtype=np.int64)
+        import zstandard
+
+        press, held, n = zstandard.ZstdCompressor(level=1), [], 0
+
+        def out():
+            at, times = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(at, np.arange(0, (1 << bits) + 1, per))
+            for k in np.flatnonzero(np.diff(cuts)):
+                part = np.zeros(per, dtype=np.uint8)
+                part[at[cuts[k] : cuts[k + 1]] - k * per] = np.minimum(times[cuts[k] : cuts[k + 1]], 255)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([press.compress(part.tobytes())], pa.binary())], ["slice", "counts"])
+
         for batch in batches:
-            hashes = [shingles(t, False) for t in batch.column(0).to_pylist()]
-            if hashes:
-                total += np.bincount((np.concatenate(hashes) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total >= max(6, 3 * total.mean()))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+            for text in batch.column(0).to_pylist():
+                s = (shingles(text, False) & mask).astype(np.uint32)
+                held.append(s)
+                n += len(s)
+                if n >= CHUNK:
+                    yield from out()
+                    held, n = [], 0
+        if n:
+            yield from out()
 
-    levels = np.zeros(BUCKETS, dtype=np.uint8)
-    top = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bucket").limit(FREQUENT)
-    for row in top.collect():
-        levels[row.bucket] = min(255, int(row.n).bit_length())
-    return levels
+    def add(batches):
+        import zstandard
 
+        press, now, total = zstandard.ZstdDecompressor(), None, np.zeros(per, dtype=np.int64)
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, d1, d2, cells, vector), staged: the set's size, digest, cells and packed counts."""
-    levels = docs.sparkSession.sparkContext.broadcast(frequent(docs))
+        def out():
+            at = np.flatnonzero(total >= FREQUENT)
+            return pa.RecordBatch.from_arrays([pa.array(at + now * per, pa.int64()), pa.array(total[at])], ["bin", "n"])
+
+        for batch in batches:
+            for k, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != now:
+                    if now is not None:
+                        yield out()
+                    now, total = k, np.zeros(per, dtype=np.int64)
+                total += np.frombuffer(press.decompress(counts), dtype=np.uint8)
+        if now is not None:
+            yield out()
+
+    slices = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition("slice").sortWithinPartitions("slice")
+    top = slices.mapInArrow(add, "bin long, n long").orderBy(F.desc("n"), "bin").limit(LISTED).toPandas()
+    order = np.argsort(top["bin"].to_numpy())
+    levels = np.log2(top["n"].to_numpy(dtype=np.float64)).astype(np.uint8) + 1
+    return bits, top["bin"].to_numpy(dtype=np.uint64)[order], levels[order]
+
+
+def sets(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """carry and (id, n, d1, d2, cells, n_hot, vector, text), staged: row, size and digest of the set, its cells of which the last n_hot are frequent, and packed counts."""
+    listed = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            n, d1, d2, cells, vectors = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            bits, bins, levels = listed.value
+            mask = np.uint64((1 << bits) - 1)
+            found: list[list] = [[] for _ in range(6)]
+            for text in batch.column("text").to_pylist():
                 s = shingles(text)
-                raw = s.tobytes()
-                digest = xxhash.xxh3_128_intdigest(raw)
-                order = levels.value[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                first = s[np.argsort(order, kind="stable")] if order.any() else s
-                n.append(len(s))
-                d1.append((digest >> 64) - (1 << 63))
-                d2.append((digest & ((1 << 64) - 1)) - (1 << 63))
-                cells.append((first[: prefix_length(len(s))] >> np.uint64(64 - CELL_BITS)).tobytes())
-                vectors.append(pack_vector(count_vector(s)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip((n, d1, d2, cells, vectors), kinds, strict=True))], ["doc_id", "n", "d1", "d2", "cells", "vector"])
-
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stage(text.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, cells binary, vector binary"), "jaccard-sets")
+                digest = xxhash.xxh3_128_intdigest(s.tobytes())
+                at, order = s & mask, np.zeros(len(s), dtype=np.uint8)
+                if len(bins):
+                    place = np.minimum(np.searchsorted(bins, at), len(bins) - 1)
+                    order = np.where(bins[place] == at, levels[place], 0)
+                by = np.argsort(order, kind="stable")[: prefix_length(len(s))]
+                cells = (s[by] >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+                row = (len(s), (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), cells.tobytes(), int(np.count_nonzero(order[by])), pack_vector(count_vector(s)))
+                for column, value in zip(found, row, strict=True):
+                    column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+            made = [pa.array(x, k) for x, k in zip(found, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *MADE])
+
+    kept = docs.select(*carry, *(["text"] if "text" not in carry else []))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    rows = kept.mapInArrow(run, f"{kinds}, n long, d1 long, d2 long, cells binary, n_hot int, vector binary")
+    return stage(rows.withColumn("id", F.monotonically_increasing_id()), "jaccard-sets")
+
+
+MADE = ["n", "d1", "d2", "cells", "n_hot", "vector"]
 
 
 def _spread(batches):
-    """(cell, doc) for every cell of every set."""
+    """(cell, hot, id) for every cell of every set."""
     for batch in batches:
-        cells = [np.frombuffer(c, dtype="<u8") for c in batch.column(1).to_pylist()]
-        ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(c) for c in cells])
-        for at in range(0, len(ids), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)[at : at + (1 << 18)].astype(np.int64)), pa.array(ids[at : at + (1 << 18)])], ["cell", "doc"])
+        cells = [np.frombuffer(c, dtype="<i8") for c in batch.column("cells").to_pylist()]
+        n, hot, ids = np.array([len(c) for c in cells]), batch.column("n_hot").to_numpy(), batch.column("id").to_numpy()
+        every, ends = np.concatenate(cells), np.cumsum(n)
+        place = np.arange(len(every))
+        marks, ids = place >= np.repeat(ends - hot, n), np.repeat(ids, n)
+        for at in range(0, len(every), 1 << 18):
+            r = slice(at, at + (1 << 18))
+            yield pa.RecordBatch.from_arrays([pa.array(every[r]), pa.array(marks[r]), pa.array(ids[r])], ["cell", "hot", "id"])
 
 
-def _meet(batches):
-    """From rows sorted by cell: all pairs of small cells (cell null), and the rows of large ones with the cell's first set."""
-    corner = [np.triu_indices(m, 1) for m in range(SMALL + 1)]
-    cell, doc = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    large: tuple[int, int] | None = None  # the cell that the rows so far end in, if it is large, and its first set
+def _led(batches):
+    """From rows sorted by cell and id: distinct (tile, id) of cells with several sets; a cell's first set leads it."""
+    cell, leader = None, -1
+    pairs: list[np.ndarray] = []
 
-    def out(pairs, rows):
-        if pairs:
-            x = np.unique(np.concatenate(pairs), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(x[:, 0]), pa.array(x[:, 1])], ["cell", "a", "b"])
-        for c, first, docs in rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), c)), pa.array(np.full(len(docs), first)), pa.array(docs)], ["cell", "a", "b"])
+    def out():
+        x = np.unique(np.concatenate(pairs), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["tile", "id"])
 
-    def cut(last: bool):
-        """Use up whole cells; what may go on in the next batch stays."""
-        nonlocal cell, doc, large
-        pairs, rows = [], []
-        if large and len(cell) and (k := int(np.searchsorted(cell, large[0], side="right"))):
-            rows.append((*large, doc[:k]))
-            cell, doc = cell[k:], doc[k:]
-        if large and len(cell):
-            large = None
-        if len(cell):
-            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            sizes = np.diff(np.r_[starts, len(cell)])
-            end = len(starts) if last else len(starts) - 1
-            for m in range(2, SMALL + 1):
-                at = starts[:end][sizes[:end] == m]
-                if len(at):
-                    members = doc[at[:, None] + np.arange(m)]
-                    x, y = members[:, corner[m][0]].ravel(), members[:, corner[m][1]].ravel()
-                    pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y])
-            for s, m in zip(starts[:end], sizes[:end], strict=True) if (sizes[:end] > SMALL).any() else ():
-                if m > SMALL:
-                    rows.append((cell[s], doc[s], doc[s : s + m]))
-            if end == len(starts):
-                cell, doc = cell[:0], doc[:0]
-            else:
-                s = starts[-1]
-                if sizes[-1] > SMALL:
-                    large = (int(cell[s]), int(doc[s]))
-                    rows.append((*large, doc[s:]))
-                    s = len(cell)
-                cell, doc = cell[s:], doc[s:]
-        return pairs, rows
-
-    pairs: list = []
     for batch in batches:
-        cell = np.concatenate([cell, batch.column(0).to_numpy(zero_copy_only=False)])
-        doc = np.concatenate([doc, batch.column(1).to_numpy(zero_copy_only=False)])
-        found, rows = cut(False)
-        pairs += found
-        full = sum(map(len, pairs)) > 200_000
-        yield from out(pairs if full else [], rows)
-        pairs = [] if full else pairs
-    found, rows = cut(True)
-    yield from out(pairs + found, rows)
+        c, i = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.r_[c[0] != cell, c[1:] != c[:-1]]
+        leads = np.where(new, i, -1)
+        if not new[0]:
+            leads[0] = leader
+        leads = leads[np.maximum.accumulate(np.where(new | (np.arange(len(c)) == 0), np.arange(len(c)), 0))]
+        cell, leader = c[-1], leads[-1]
+        if (~new).any():
+            pairs.append(np.stack([leads[~new], i[~new]], 1))
+        if sum(map(len, pairs)) > 400_000:
+            yield out()
+            pairs = []
+    if pairs:
+        yield out()
+
+
+def tiles(points: DataFrame) -> DataFrame:
+    """(tile, id), staged: the sets that share a cell with others, under each leader of such a cell; the leader too.
+
+    Frequent cells, which may hold any share of the sets, get their leaders by partial aggregation.
+    """
+    spread = lambda rows: rows.select("id", "cells", "n_hot").mapInArrow(_spread, "cell long, hot boolean, id long")
+    rare = spread(points).where("not hot").select("cell", "id").repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_led, "tile long, id long")
+    hot = spread(points.where("n_hot > 0")).where("hot").select("cell", "id")
+    hot = hot.join(hot.groupBy("cell").agg(F.min("id").alias("tile")), "cell").where("id <> tile").select("tile", "id")
+    met = stage(rare.unionByName(hot).distinct(), "jaccard-tiles")
+    return met.unionByName(met.select("tile", F.col("tile").alias("id")).distinct())
 
 
-def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs (a, b) of distinct sets whose points pass the bound on the overlap."""
+def _blocks(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """rows with the number of blocks of their key."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return rows.join(sizes, key).withColumn("i", F.pmod(F.xxhash64(by), "blocks").cast("int"))
 
-    def run(batches):
-        for batch in batches:
-            a, b, na, nb, va, vb = batch.columns
-            na, nb = na.to_numpy(), nb.to_numpy()
-            ok = may_link(np.minimum(unpack_vectors(va.to_pylist()), unpack_vectors(vb.to_pylist())).sum(1), na, nb, P, Q)
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok))
 
-    left = points.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
-    right = points.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
-    met = pairs.join(left, "a").join(right, "b").where(f"least(na, nb) * {Q} >= {P} * greatest(na, nb)")
-    return met.select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, "a long, b long")
+def _grouped(batches, columns: list[str], group):
+    """Call group(table) with whole groups of rows that are equal in columns and follow each other, many at a time."""
+    held: list[pa.RecordBatch] = []
+    n = 0
 
+    def cut(last: bool):
+        nonlocal held, n
+        t = pa.Table.from_batches(held).combine_chunks()
+        end = t.num_rows
+        if not last:
+            keys = [t.column(c).to_numpy() for c in columns]
+            same = np.logical_and.reduce([k == k[-1] for k in keys])
+            end = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        held, n = t.slice(end).combine_chunks().to_batches(), t.num_rows - end
+        return t.slice(0, end)
 
-def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc, text), staged, of the documents in pairs, and of some more: a filter of fixed size spares moving the rest."""
-    spark = docs.sparkSession
-    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    found = np.zeros(BUCKETS, dtype=bool)
-    found[[r.b for r in ids.select(bucket.alias("b")).distinct().collect()]] = True  # at most BUCKETS small numbers
-    wanted = spark.sparkContext.broadcast(np.packbits(found))
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= ROWS:
+            whole = cut(False)
+            if whole.num_rows:
+                yield from group(whole)
+    if n:
+        yield from group(cut(True))
+
+
+def _join_tiles(limited: bool):
+    """The join of whole groups (tile, x, y) of rows with i, id, mark, n, vector; limited: see FEW."""
+
+    def group(t: pa.Table):
+        tile, x, y, i, ids, mark, n = (t.column(c).to_numpy() for c in ("tile", "x", "y", "i", "id", "mark", "n"))
+        vector = unpack_vectors(t.column("vector").to_pylist())
+        segment = np.cumsum(np.r_[False, (tile[1:] != tile[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+        side = (i != x).astype(np.int64)  # of two blocks, which one
+        forest = Forest(2 * segment + side, vector, n, mark)
+        same, two = x[first] == y[first], np.zeros(len(first), dtype=bool)
+        two[segment[side == 1]] = True
+        two &= np.isin(2 * np.arange(len(first)), forest.trees)
+        alone, across = np.flatnonzero(same), np.flatnonzero(~same & two)
+        sizes, seen, open_ = np.bincount(segment), np.zeros(len(first), dtype=np.int64), np.zeros(len(first), dtype=bool)
+        left, right = 2 * np.r_[alone, across], np.r_[2 * alone, 2 * across + 1]
+        a, b = [], []
+        for u, v in forest.join(left, right, P, Q):
+            if limited:
+                seen += np.bincount(segment[u], minlength=len(first))
+                open_ |= seen > FEW * sizes
+                go_on = ~open_[segment[u]]
+                u, v = u[go_on], v[go_on]
+            a.append(u)
+            b.append(v)
+        a, b = (np.concatenate(z) if z else np.empty(0, dtype=np.int64) for z in (a, b))
+        go_on = ~open_[segment[a]]
+        a, b = a[go_on], b[go_on]
+        for k in np.flatnonzero(open_):
+            rows = np.flatnonzero(segment == k)
+            own, other = (rows, rows) if same[k] else (rows[side[rows] == 0], rows[side[rows] == 1])
+            mean = vector[own].mean(0)
+            hub = own[np.abs(vector[own] - mean).sum(1).argmin()]
+            other = other[other != hub]
+            other = other[may_link(overlap_bound(vector[hub][None], vector[other]), n[hub], n[other], P, Q)]
+            a, b = np.r_[a, np.full(len(other), hub)], np.r_[b, other]
+        marks = open_[segment[a]]
+        u, v = ids[a], ids[b]
+        swap = (u > v) & ~marks  # a star's centre stays on one side
+        u, v = np.where(swap, v, u), np.where(swap, u, v)
+        names, todo = ["a", "b", "tile"], tile[first][open_]
+        for at in range(0, len(u), 1 << 18):
+            r = slice(at, at + (1 << 18))
+            yield pa.RecordBatch.from_arrays([pa.array(u[r]), pa.array(v[r]), pa.nulls(len(u[r]), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(todo), pa.int64()), pa.nulls(len(todo), pa.int64()), pa.array(todo)], names)
+
+    return lambda batches: _grouped(batches, ["tile", "x", "y"], group)
+
+
+def candidates(met: DataFrame, points: DataFrame, limited: bool) -> DataFrame:
+    """(a, b, tile), staged: pairs that pass the bound, and (with a null pair) the tiles that aren't done yet.
+
+    met has (tile, id, mark); every pair of a tile's blocks is one group.
+    """
+    rows = _blocks(met, "tile", "id").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("tile", F.least("i", "k").alias("x"), F.greatest("i", "k").alias("y"), "i", "id", "mark")
+    rows = rows.join(points.select("id", "n", "vector"), "id").select("tile", "x", "y", "i", "id", "mark", "n", "vector")
+    return stage(rows.repartition("tile", "x", "y").sortWithinPartitions("tile", "x", "y").mapInArrow(_join_tiles(limited), "a long, b long, tile long"), "jaccard-pairs")
 
-    def run(batches):
-        for batch in batches:
-            k = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            ok = (wanted.value[k >> 3] >> (7 - (k & 7))) & 1 == 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["doc", "text"]).filter(pa.array(ok))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").select("id", "text", bucket.alias("k"))
-    return stage(rows.mapInArrow(run, "doc long, text string"), "jaccard-texts").dropDuplicates(["doc"])
+def _texts(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """(id, text) of the sets in pairs."""
+    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
+    return whole.select("id", "text").join(bounded_broadcast(ids), "id", "left_semi")
+
 
+def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, staged: 100 * intersection >= 75 * union of their shingles.
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that link: 100 * intersection >= 75 * union of their shingles."""
+    The text of a goes once to each block of its partners, each partner's text once to a.
+    """
+    pairs = stage(_blocks(pairs, "a", "b").select("a", "i", "b"), "jaccard-partners")
+    rows = pairs.unionByName(pairs.select("a", "i", F.col("a").alias("b")).distinct())
 
     def run(batches):
-        kept: dict[int, np.ndarray] = {}
+        centre, s = None, np.empty(0, dtype=np.uint64)
         for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
             ok = []
-            for i, j, x, y in zip(a, b, ta, tb, strict=True):
-                if i not in kept:
-                    kept = {i: shingles(x)}  # rows of one a mostly follow each other
-                s, t = kept[i], shingles(y)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(Q * both >= P * (len(s) + len(t) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+            for a, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text")), strict=True):
+                t = shingles(text)
+                if a == b:
+                    centre, s = a, t
+                both = len(np.intersect1d(s, t, assume_unique=True)) if a != b and a == centre else 0
+                ok.append(both > 0 and Q * both >= P * (len(s) + len(t) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left, right = (texts.select(F.col("doc").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    rows = rows.join(_texts(pairs, whole).withColumnRenamed("id", "b"), "b").select("a", "i", "b", "text")
+    rows = rows.repartition("a", "i").sortWithinPartitions("a", "i", F.col("a") != F.col("b"))
+    return stage(rows.mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
-def _across(pairs: DataFrame, components: DataFrame) -> DataFrame:
+def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs whose sets lie in different components."""
-    of = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
 
-def _indexed(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) from R-tree joins of cells: rows (cell, doc, component, n, vector, blocks, cells).
+def clusters(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The staged rows (carry, id, n, ...) of docs, and (id, root) of each: rows of one root are linked."""
+    text_batches(docs.sparkSession)
+    whole = sets(docs, carry)
+    own = whole.where("n > 0").select("id", "d1", "d2")
+    reps = stage(own.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "jaccard-reps")
+    copies = stage(own.join(reps.where("rows > 1"), ["d1", "d2"]).where("id <> rep").select("id", "rep"), "jaccard-copies")
+    points = whole.where("n > 0").join(bounded_broadcast(copies.select("id")), "id", "left_anti")
+    met = tiles(points)
 
-    cells has all of the set's open cells, sorted: a pair is given by the first cell that both sets share, once.
-    """
-    i = F.pmod(F.xxhash64("doc"), F.col("blocks"))
-    rows = rows.withColumn("i", i).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    rows = rows.select("cell", F.least("i", "k").alias("x"), F.greatest("i", "k").alias("y"), "i", "doc", "component", "n", "vector", "cells")
-
-    def run(table: pa.Table) -> pa.Table:
-        i, doc, mark, n, vector = (table.column(c) for c in ("i", "doc", "component", "n", "vector"))
-        i, doc, mark, n, vector = i.to_numpy(), doc.to_numpy(), mark.to_numpy(), n.to_numpy(), unpack_vectors(vector.to_pylist())
-        blocks = [np.flatnonzero(i == x) for x in np.unique(i)]
-        trees = [RTree(vector[b], n[b], mark[b]) for b in blocks]
-        here, cells = table.column("cell")[0].as_py(), table.column("cells").to_pylist()
-        sets = [frozenset(c) for c in cells]
-        first = lambda u, v: next(c for c in cells[u] if c in sets[v]) == here
-        a, b = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        if len(blocks) == 2 or len(blocks) == 1 and table.column("x")[0].as_py() == table.column("y")[0].as_py():
-            for x, y in trees[0].join(trees[-1], P, Q):
-                u, v = blocks[0][x], blocks[-1][y]
-                ok = np.fromiter((i != j and first(i, j) for i, j in zip(u.tolist(), v.tolist(), strict=True)), dtype=bool, count=len(u))
-                u, v = doc[u[ok]], doc[v[ok]]
-                a, b = np.concatenate([a, np.minimum(u, v)]), np.concatenate([b, np.maximum(u, v)])
-        pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return rows.groupBy("cell", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    pairs = candidates(met.withColumn("mark", F.col("id")), points, True)
+    links = verified(pairs.where("a is not null").select("a", "b").distinct(), whole)
+    found = stage(connected_components(links, "a", "b"), "jaccard-components")
+    todo = stage(pairs.where("a is null").select("tile").distinct(), "jaccard-open")
+    if todo.limit(1).count():
+        rows = met.join(todo, "tile").join(found.withColumnRenamed("node", "id"), "id", "left").select("tile", "id", F.coalesce("component", "id").alias("mark"))
+        late = stage(candidates(rows, points, False).select("a", "b").distinct(), "jaccard-pairs")
+        # One partner for each set first; then only pairs that aren't connected yet.
+        links = links.unionByName(verified(late.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), whole))
+        found = stage(connected_components(links, "a", "b"), "jaccard-components")
+        links = links.unionByName(verified(_across(late, found), whole))
+        found = stage(connected_components(links, "a", "b"), "jaccard-components")
+    named = found.select(F.col("node").alias("rep"), "component")
+    labels = whole.select("id").join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id")).join(named, "rep", "left")
+    return whole, stage(labels.select("id", F.coalesce("component", "rep").alias("root")), "jaccard-roots")
 
 
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
-    spark = docs.sparkSession
-    text_batches(spark)
-    docs = docs.select("doc_id", "text")
-    whole = sets(docs)
-    reps = whole.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    points = whole.where("n > 0").join(reps.select("rep"), whole["doc_id"] == reps["rep"]).select("rep", "n", "vector", "cells").dropDuplicates(["rep"])
-    spread = points.select("rep", "cells").mapInArrow(_spread, "cell long, doc long")
-    met = stage(spread.repartition("cell").sortWithinPartitions("cell", "doc").mapInArrow(_meet, "cell long, a long, b long"), "jaccard-cells")
-    points = stage(points.select("rep", "n", "vector"), "jaccard-points")
-
-    survivors = stage(bounded(met.where("a <> b").select("a", "b").distinct(), points), "jaccard-pairs")
-    texts = texts_of(docs, survivors)
-    links = stage(verified(survivors.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts), "jaccard-links")
-    found = stage(connected_components(links, "a", "b"), "jaccard-components")
-    links = links.unionByName(stage(verified(_across(survivors, found), texts), "jaccard-links"))
-    found = stage(connected_components(links, "a", "b"), "jaccard-components")
-
-    rows = met.where("cell is not null").select("cell", F.col("b").alias("doc")).join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    cells = rows.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who")).where("low <> high")
-    # Cells with the same sets are joined once.
-    cells = cells.groupBy("who", "m").agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    opened = rows.join(cells, "cell").select("cell", "doc", "component", "blocks")
-    shared = opened.groupBy("doc").agg(F.sort_array(F.collect_set("cell")).alias("cells"))  # at most a set's own cells
-    open_rows = opened.join(shared, "doc").join(points.withColumnRenamed("rep", "doc"), "doc").select("cell", "doc", "component", "n", "vector", "blocks", "cells")
-    late = stage(_indexed(open_rows), "jaccard-pairs")
-    if late.limit(1).count():
-        links = links.unionByName(stage(verified(late, texts_of(docs, late)), "jaccard-links"))
-        found = stage(connected_components(links, "a", "b"), "jaccard-components")
-
-    of_rep = reps.join(found, reps["rep"] == found["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    return whole.select("doc_id", "n", "d1", "d2").join(of_rep, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    whole, roots = clusters(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
+    found = whole.select("id", "doc_id", F.col("n").alias("n_shingles")).join(roots, "id")
+    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "n_shingles", "component_id")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """One row of each component of docs: that with the smallest doc_id, nulls last, then the first row."""
+    whole, roots = clusters(docs, docs.columns)
+    found = whole.select("id", "doc_id").join(roots, "id")
+    many = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    drop = stage(found.join(many, "root").where("id <> best.id").select("id"), "jaccard-drops")
+    return whole.join(bounded_broadcast(drop), "id", "left_anti").select(*docs.columns)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,28 @@
-"""A packed R-tree over group-count vectors, joined with itself under an overlap bound.
+"""Packed R-trees over group-count vectors, joined under an overlap bound; many trees at once.
 
-A set of hashes becomes a point: how many fall into each of ``GROUPS`` groups. The overlap of two sets is at
-most the sum over groups of the smaller count; over a node's box, of the smaller of both upper corners. A pair
-can reach Jaccard p/q only if its overlap is at least p * (a + b) / (p + q), so a pair of nodes is dropped when
-the bound misses that for its smallest sizes.
+A set of hashes becomes a point: how many of them fall into each of ``GROUPS`` groups. The overlap of two sets is
+at most the sum over groups of the smaller count; over the boxes of two nodes, of the smaller of both upper
+corners. A pair can reach Jaccard p/q only if its overlap is at least p * (a + b) / (p + q), so a pair of nodes is
+dropped when the bound misses that for its smallest sizes, or when all its points carry one mark.
+
+The trees of many small tiles lie in the same arrays: a level's nodes are ranges of the level below, no node
+spans two trees, and a join goes down all of them together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-GROUPS = 512
+GROUPS = 256
 FAN = 16
+#: Pairs whose vectors are compared at once; bounds the memory of a join.
+STEP = 16_384
 
 
 def count_vector(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=GROUPS)
+    return np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
 
 
 def pack_vector(counts: np.ndarray) -> bytes:
@@ -25,73 +32,81 @@ def pack_vector(counts: np.ndarray) -> bytes:
 
 
 def unpack_vectors(packed: list[bytes]) -> np.ndarray:
-    out = np.empty((len(packed), GROUPS), dtype=np.int32)
-    kinds = {GROUPS: np.uint8, 2 * GROUPS: "<u2", 4 * GROUPS: "<u4"}
-    sizes = np.array([len(x) for x in packed])
+    """One row for each; of the widest kind among them."""
+    kinds = {GROUPS: np.dtype(np.uint8), 2 * GROUPS: np.dtype("<u2"), 4 * GROUPS: np.dtype("<u4")}
+    sizes = np.array([len(x) for x in packed], dtype=np.int64)
+    out = np.empty((len(packed), GROUPS), dtype=kinds[int(sizes.max(initial=GROUPS))])
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
         out[at] = np.frombuffer(b"".join([packed[i] for i in at]), dtype=kinds[int(size)]).reshape(-1, GROUPS)
     return out
 
 
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of coordinate minima of rows with rows."""
+    return np.minimum(x, y).sum(1, dtype=np.int64)
+
+
 def may_link(bound: np.ndarray, a: np.ndarray, b: np.ndarray, p: int, q: int) -> np.ndarray:
     """Whether sets of sizes a and b with at most this overlap can have a Jaccard of p/q; the sizes' ratio counts too."""
     return (bound * (p + q) >= p * (a + b)) & (np.minimum(a, b) * q >= p * np.maximum(a, b))
 
 
-class RTree:
-    """Levels from the leaves' points up to one node; each has upper corners, least and largest size, and a mark."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, marks: np.ndarray):
-        # Sort-tile: slabs by size, tiles by the coordinate that varies most, then by the next.
-        n = len(points)
-        spread = np.argsort(-points.var(axis=0))[:2] if n else np.zeros(2, dtype=int)
-        slabs = max(1, round((n / FAN) ** (1 / 3)))
-        slab = np.argsort(np.argsort(sizes, kind="stable"), kind="stable") * slabs // max(1, n)
-        tile = np.zeros(n, dtype=np.int64)
-        for s in range(slabs):
-            at = np.flatnonzero(slab == s)
-            tile[at[np.argsort(points[at, spread[0]], kind="stable")]] = np.arange(len(at)) * slabs // max(1, len(at))
-        self.order = np.lexsort((points[:, spread[1]], tile, slab))
-        level = (points[self.order], sizes[self.order], sizes[self.order], marks[self.order])
-        self.levels = [level]
-        while len(level[0]) > 1:
-            starts = np.arange(0, len(level[0]), FAN)
-            low, high = np.minimum.reduceat(level[3], starts), np.maximum.reduceat(level[3], starts)
-            level = (np.maximum.reduceat(level[0], starts, axis=0), np.minimum.reduceat(level[1], starts), np.maximum.reduceat(level[2], starts), np.where(low == high, low, -1))
-            self.levels.append(level)
-
-    def _keep(self, k: int, other: RTree, m: int, i: np.ndarray, j: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of pairs of nodes i (own level k) and j (other's level m), those that may hold a pair of different marks."""
-        (pa, lo_a, hi_a, ma), (pb, lo_b, hi_b, mb) = self.levels[k], other.levels[m]
-        ok = np.ones(len(i), dtype=bool)
-        ok &= (ma[i] != mb[j]) | (ma[i] == -1)
-        ok &= (hi_a[i] * q >= p * lo_b[j]) & (hi_b[j] * q >= p * lo_a[i])
+class Forest:
+    """Trees over points that are sorted by tree; within a tree, points are packed by size, then by the heaviest group."""
+
+    def __init__(self, tree: np.ndarray, points: np.ndarray, sizes: np.ndarray, marks: np.ndarray):
+        order = np.lexsort((points.argmax(1), sizes, tree))
+        self.order, self.trees = order, np.unique(tree)
+        tree = tree[order]
+        #: Each level: upper corners, least size, largest size, mark (-1: several), tree, first child, end of children.
+        self.levels = [(points[order], sizes[order], sizes[order], marks[order], tree, None, None)]
+        while len(tree) > len(self.trees):
+            place = np.arange(len(tree)) - np.searchsorted(tree, tree)  # within the tree
+            starts = np.flatnonzero(place % FAN == 0)
+            box, least, largest, mark, *_ = self.levels[-1]
+            low, high = np.minimum.reduceat(mark, starts), np.maximum.reduceat(mark, starts)
+            tree = tree[starts]
+            self.levels.append((
+                np.maximum.reduceat(box, starts, axis=0), np.minimum.reduceat(least, starts), np.maximum.reduceat(largest, starts),
+                np.where(low == high, low, -1), tree, starts, np.r_[starts[1:], len(place)],
+            ))
+
+    def _kept(self, k: int, i: np.ndarray, j: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of nodes of level k, those that may hold a pair of different marks that links."""
+        box, least, largest, mark, *_ = self.levels[k]
+        ok = ((mark[i] != mark[j]) | (mark[i] == -1)) & (largest[i] * q >= p * least[j]) & (largest[j] * q >= p * least[i])
         i, j = i[ok], j[ok]
-        out = np.empty(len(i), dtype=bool)
-        for at in range(0, len(i), 8192):
-            x, y = i[at : at + 8192], j[at : at + 8192]
-            out[at : at + 8192] = np.minimum(pa[x], pb[y]).sum(1) * (p + q) >= p * (lo_a[x] + lo_b[y])
-        return i[out], j[out]
-
-    def join(self, other: RTree, p: int, q: int):
-        """Yield arrays (own row, other's row) of all pairs of points that may link and have different marks."""
-        stack = [(len(self.levels) - 1, len(other.levels) - 1, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
+        ok = overlap_bound(box[i], box[j]) * (p + q) >= p * (least[i] + least[j])
+        return i[ok], j[ok]
+
+    def _children(self, k: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of children of pairs of nodes of level k; of a node with itself, each pair once."""
+        first, end = self.levels[k][5:]
+        di, dj = end[i] - first[i], end[j] - first[j]
+        n = di * dj
+        pair = np.repeat(np.arange(len(i)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        x, y = first[i][pair] + at // dj[pair], first[j][pair] + at % dj[pair]
+        ok = (i[pair] != j[pair]) | (x <= y)
+        return x[ok], y[ok]
+
+    def join(self, left: np.ndarray, right: np.ndarray, p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows that may link and have different marks, of the trees left[i] with right[i]; a tree with itself gives each once."""
+        top = len(self.levels) - 1
+        stack = [(top, np.searchsorted(self.trees, left), np.searchsorted(self.trees, right))]
         while stack:
-            k, m, i, j = stack.pop()
-            i, j = self._keep(k, other, m, i, j, p, q)
-            if not len(i):
+            k, i, j = stack.pop()
+            if len(i) > STEP:
+                stack += [(k, i[at : at + STEP], j[at : at + STEP]) for at in range(0, len(i), STEP)]
                 continue
-            if k == m == 0:
-                yield self.order[i], other.order[j]
+            if not k:
+                apart = i != j
+                i, j = i[apart], j[apart]
+            i, j = self._kept(k, i, j, p, q)
+            if not len(i):
                 continue
-            for at in range(0, len(i), 2048):  # bounds what is expanded at once
-                x, y = i[at : at + 2048], j[at : at + 2048]
-                if k >= m:
-                    n = len(self.levels[k - 1][0])
-                    x, y = (x[:, None] * FAN + np.arange(FAN)).ravel(), np.repeat(y, FAN)
-                    stack.append((k - 1, m, x[x < n], y[x < n]))
-                else:
-                    n = len(other.levels[m - 1][0])
-                    x, y = np.repeat(x, FAN), (y[:, None] * FAN + np.arange(FAN)).ravel()
-                    stack.append((k, m - 1, x[y < n], y[y < n]))
+            if k:
+                stack += [(k - 1, *self._children(k, i[at : at + 512], j[at : at + 512])) for at in range(0, len(i), 512)]
+            else:
+                yield self.order[i], self.order[j]
