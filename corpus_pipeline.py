@@ -4,14 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` wr
 folder and reads again as the next stage's docs. All but the last return the columns of documents.
 
 Edge cases follow the operators': rows with a null or empty text fail the quality rules; rows with a null
-doc_id are judged like others and never removed as copies; repeated rows of one doc_id are copies of each
-other, of which one stays; an empty table gives an empty result.
+doc_id are judged like others; rows are copies of each other by their texts alone, so equal rows leave one, and
+different texts of one doc_id stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tracegrid.llm import jaccard, packing, quality, toxicity
 from tracegrid.llm.common import stage, table
@@ -33,10 +32,7 @@ def with_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the one with the smallest doc_id."""
-    docs = docs.select(*COLUMNS)
-    stays = jaccard.components(docs).groupBy("component_id").agg(F.count("*").alias("n")).where("component_id is not null")
-    kept = docs.join(stays.select(F.col("component_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    return jaccard.without_copies(docs.select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
