@@ -1,16 +1,20 @@
 """Quality rules with risk-controlled cutoffs. DataFrame and SQL functions only.
 
-``measure`` computes the counts of whole texts inside each row (no shuffle). ``calibrate`` chooses, for each
-stratum and rule, a cutoff from a fixed ladder. On labelled good rows kept for certification, a cutoff is
-certified if the exact binomial tail P(X <= k | n, alpha / rules) of its k false rejections among n good rows
-is at most delta / (strata * rules): a Bonferroni correction over strata and rules, while the cutoffs of a
-ladder are tested from the most lenient on and the first failure ends the sequence, which needs no further
-correction. With probability 1 - delta no stratum loses more than alpha of its good rows to the rules together.
-Among certified cutoffs the other third of the labelled rows picks the one with the best margin of rejected
-bad rows over PENALTY times rejected good rows; a rule without a positive margin isn't used.
-
-The certified table has one row per stratum: at most ``MAX_STRATA``, those with most labelled rows. Rows of
-other strata, or of strata too small to certify anything, are judged by the base rules alone.
+``measure`` computes the counts of whole texts inside each row (no shuffle). ``calibrate`` chooses for each stratum
+one vector of cutoffs, for all rules together, from labelled rows that pass the base rules:
+
+1. On one third of them (selection) each rule gets the rung of its fixed ladder with the best margin of rejected bad
+   rows over PENALTY times rejected good rows; a rule without a positive margin isn't used. The rules' rungs are
+   tightened together, from none to that one, in STEPS steps: a fixed sequence of joint vectors.
+2. On the others (certification) a step with k of n good rows rejected by any rule is certified if the exact binomial
+   tail P(X <= k | n, alpha) is at most delta / strata. Steps are tested from the most lenient on and the first
+   failure ends the sequence, which needs no correction; Bonferroni is over the strata alone. With probability
+   1 - delta no stratum loses more than alpha of its good rows to the rules together.
+3. Among certified steps the selection rows pick the one with the best margin, the most lenient of equal ones.
+
+A stratum needs about ln(delta / strata) / ln(1 - alpha) good certification rows (some 220 with four strata) before
+anything can be certified; rows of smaller strata are judged by the base rules alone. Any number of strata is
+handled alike.
 
 Edge cases: a null or empty text has no words, so all counts are 0 and the base rule rejects it; a null
 stratum is a stratum of its own; repeated rows are judged each; a doc_id labelled more than once counts as
@@ -24,12 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stage, table
+from .common import bounded_broadcast, stage, table
 
 ALPHA = 0.02
 DELTA = 0.05
 PENALTY = 10.0
-MAX_STRATA = 256
+STEPS = 10
 MIN_WORDS = 50
 
 #: Rule: (value of the counts, larger is worse; its ladder from lenient to strict).
@@ -98,47 +102,51 @@ def binomial_tail(k: str, n: str, p: float) -> Column:
     return F.expr(f"if({k} > {n} * {p!r}D, 1D, if({k} = 0, exp({n} * ln(1 - {p!r}D)), exp(aggregate(sequence(1L, greatest({k}, 1L)), {first}, (a, i) -> {merge}).s)))")
 
 
+def _stratum(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
 def calibrate(measured: DataFrame, labels: DataFrame, stratum: str = "lang", label: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, cutoffs map<rule, cutoff>, certificates): one row per stratum with a rule in use."""
+    """(stratum, cutoffs map<rule, cutoff>, step, n, k, tail, margin): one row per stratum with a certified step."""
     truth = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.min((F.col(label) == 1).cast("int")).alias("good"))
-    rows = (
-        measured.where(~F.col("base_failed"))
-        .select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), *(v.alias(k) for k, v in _values().items()))
-        .join(truth, "doc_id")
-        .withColumn("certify", F.crc32(F.col("doc_id").cast("string")) % 3 != 0)
-    )
-    # Rejections at every rung, as sums over the rows: one pass, then a few rows per stratum.
-    over = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r, ladder in LADDERS.items() for i, c in enumerate(ladder)]
-    sums = rows.groupBy("stratum", "good", "certify").agg(F.count("*").alias("n"), *over)
-    rungs = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i).alias("rung"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r, ladder in LADDERS.items() for i, c in enumerate(ladder))))
-    of = lambda good, certify, col: F.coalesce(F.sum(F.when((F.col("good") == good) & (F.col("certify") == certify), F.col(col))), F.lit(0))
+    # The first rung that rejects a row is the number of cutoffs that its value doesn't exceed.
+    rung_of = lambda ladder, v: F.size(F.filter(F.array(*map(F.lit, ladder)), lambda c: c >= v))
+    first = [rung_of(LADDERS[r], v).alias(r) for r, v in _values().items()]
+    rows = measured.where(~F.col("base_failed")).select("doc_id", _stratum(stratum).alias("stratum"), *first).join(truth, "doc_id")
+    rows = stage(rows.withColumn("certify", F.crc32(F.col("doc_id").cast("string")) % 3 != 0).drop("doc_id"), "quality-rows")
+
+    # The rungs up to which each rule goes: one pass of partial sums, then a few rows per stratum.
+    over = [F.sum((F.col(r) <= i).cast("long")).alias(f"{r}_{i}") for r, ladder in LADDERS.items() for i in range(len(ladder))]
+    sums = rows.where("not certify").groupBy("stratum", "good").agg(*over)
+    rungs = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i).alias("rung"), F.col(f"{r}_{i}").alias("k")) for r, ladder in LADDERS.items() for i in range(len(ladder)))))
+    gain = F.sum(F.when(F.col("good") == 0, F.col("k")).otherwise(-PENALTY * F.col("k")))
+    margins = sums.withColumn("x", rungs).select("stratum", "good", "x.*").groupBy("stratum", "rule", "rung").agg(gain.alias("margin"))
+    best = margins.groupBy("stratum", "rule").agg(F.max(F.struct("margin", (-F.col("rung")).alias("lenient"))).alias("b")).where("b.margin > 0")
+    ends = best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", (1 - F.col("b.lenient")).alias("rungs")))).alias("ends"))
+
+    # The first step at which any rule rejects a row; STEPS + 1 for none.
+    step = F.least(*(F.coalesce(F.ceil(STEPS * (F.col(r) + 1) / F.col("ends")[r]), F.lit(STEPS + 1)) for r in LADDERS))
+    counts = rows.join(ends, "stratum").withColumn("first", step).groupBy("stratum", "good", "certify", "first").agg(F.count("*").alias("m"))
+    of = lambda good, certify: F.coalesce(F.sum(F.when((F.col("good") == good) & (F.col("certify") == certify) & (F.col("first") <= F.col("step")), F.col("m"))), F.lit(0))
     tests = (
-        sums.withColumn("x", rungs).select("stratum", "good", "certify", "n", "x.*")
-        .groupBy("stratum", "rule", "rung", "cutoff")
-        .agg(of(1, True, "n").alias("n"), of(1, True, "k").alias("k"), of(1, False, "k").alias("good_k"), of(0, False, "k").alias("bad_k"), F.sum("n").alias("labelled"))
-    )
-    tests = stage(tests.coalesce(1), "quality-tests")  # a few rows per stratum
-    largest = tests.groupBy("stratum").agg(F.max("labelled").alias("l")).orderBy(F.desc("l"), "stratum").limit(MAX_STRATA)
-    n_strata = max(1, largest.count())
-    per_rule = alpha / len(LADDERS)
-    ladder = W.partitionBy("stratum", "rule").orderBy("rung").rowsBetween(W.unboundedPreceding, 0)
-    certified = (
-        tests.join(F.broadcast(largest.select("stratum")), "stratum")
-        .withColumn("tail", binomial_tail("k", "n", per_rule))
-        .withColumn("certified", F.min(F.col("tail") <= F.lit(delta / (n_strata * len(LADDERS)))).over(ladder))
-        .where("certified").withColumn("margin", F.col("bad_k") - PENALTY * F.col("good_k"))
+        counts.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(STEPS)))).groupBy("stratum", "step")
+        .agg(F.coalesce(F.sum(F.when((F.col("good") == 1) & F.col("certify"), F.col("m"))), F.lit(0)).alias("n"), of(1, True).alias("k"), (of(0, False) - PENALTY * of(1, False)).alias("margin"))
     )
-    best = certified.groupBy("stratum", "rule").agg(F.max(F.struct("margin", (-F.col("rung")).alias("lenient"), "cutoff", "n", "k", "tail")).alias("b")).where("b.margin > 0")
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "b.cutoff"))).alias("cutoffs"), F.map_from_entries(F.collect_list(F.struct("rule", "b"))).alias("certificates"))
+    n_strata = max(1, rows.select("stratum").distinct().count())
+    so_far = W.partitionBy("stratum").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
+    certified = tests.withColumn("tail", binomial_tail("k", "n", alpha)).withColumn("certified", F.min(F.col("tail") <= F.lit(delta / n_strata)).over(so_far)).where("certified")
+    chosen = certified.groupBy("stratum").agg(F.max(F.struct("margin", (-F.col("step")).alias("lenient"), "step", "n", "k", "tail")).alias("b")).where("b.margin > 0")
+    rung = lambda r: F.floor(F.col("b.step") * F.col("ends")[r] / STEPS)
+    cutoff = [F.when(rung(r) > 0, F.struct(F.lit(r).alias("rule"), F.element_at(F.array(*map(F.lit, ladder)), rung(r).cast("int")).alias("cutoff"))) for r, ladder in LADDERS.items()]
+    return chosen.join(ends, "stratum").select("stratum", F.map_from_entries(F.array_compact(F.array(*cutoff))).alias("cutoffs"), "b.step", "b.n", "b.k", "b.tail", "b.margin")
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, carry: list[str] | None = None) -> DataFrame:
     """docs (or its columns ``carry``) with the counts, base_failed, kept and the failed rules; measured once, staged for both uses."""
     measured = measure(docs)
     measured = stage(measured if carry is None else measured.select(*carry, *COUNTS, "base_failed"), "quality")
-    cutoffs = calibrate(measured, labels, stratum, "quality", alpha, delta).select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs"))
-    cutoffs = stage(cutoffs.coalesce(1), "quality-cutoffs")  # at most MAX_STRATA rows
-    judged = measured.join(F.broadcast(cutoffs), F.coalesce(F.col(stratum).cast("string"), F.lit("")) == F.col("_stratum"), "left")
+    cutoffs = stage(calibrate(measured, labels, stratum, "quality", alpha, delta).select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs")), "quality-cutoffs")
+    judged = measured.drop("failed_rules", "_stratum", "_cutoffs").join(bounded_broadcast(cutoffs), _stratum(stratum) == F.col("_stratum"), "left")
     failed = F.array_compact(F.array(*(F.when(v > F.col("_cutoffs")[r], F.lit(r)) for r, v in _values().items())))
     return judged.withColumn("failed_rules", failed).drop("_stratum", "_cutoffs").withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
