@@ -2,10 +2,13 @@
 
 1. Texts with equal shingle sets collapse to one representative (128-bit digest of the set); what follows is keyed by
    the representative's row, never by doc_id.
-2. Tiles, which lose no link: a set orders its shingles from rare to frequent and goes to the cells of its first
-   n - ceil(0.75 n) + 1. Two sets that link share a cell. The smallest row of a cell leads it, and all cells with
-   one leader are one tile, so sets with many cells in common meet once. Frequencies are counts of all shingles of
-   the corpus in hashed bins; any order is exact, this one keeps common passages from making tiles.
+2. Tiles: a set orders its shingles, frequent ones last and the others by hash, and goes to the cells of its first
+   n - ceil(0.75 n) + 1. Two sets that link share a cell. Those cells are a uniform draw from the set's rare
+   shingles, of which all but a quarter of n lie in any set it links with; a set with so few shared cells that this
+   has a chance below ``CHANCE`` (Serfling's bound, far below that of two hashes being equal) links with nothing.
+   The smallest row of a cell leads it, and all cells with one leader are one tile, so sets with many cells in
+   common meet once. Frequencies are counts of all shingles of the corpus in hashed bins; any order is exact, this
+   one keeps common passages from making tiles.
 3. Shingles are hashed into groups, and a set's group counts are a point. Every tile's points, whatever their
    number, are packed into R-trees (blocks of ``BLOCK`` points, every pair of blocks) that are joined under the
    bound on the overlap: the sum of coordinate minima must reach 3/7 of both sizes.
@@ -24,6 +27,8 @@ ignored unless carried.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +50,7 @@ MIN_BINS, MAX_BINS, SLICE = 20, 28, 18
 LISTED = 1 << 20
 CHUNK = 1 << 22
 WORD_CACHE = 500_000
+CHANCE = 1e-18
 #: Cells are named by so many bits of a shingle; texts that meet in a cell by chance fail the bound.
 CELL_BITS = 44
 #: Rows that a task of the tiles' join holds at once, besides one pair of blocks.
@@ -83,6 +89,15 @@ def prefix_length(n: int) -> int:
     return n - -(-P * n // Q) + 1 if n else 0
 
 
+def least_shared(n: int, rare: int) -> int:
+    """How many of its cells a set that links shares at least, but for CHANCE: n shingles, of which so many are rare."""
+    p = prefix_length(n)
+    if not p or rare < p:
+        return 1
+    sure = (rare - (p - 1)) / rare  # of its rare shingles
+    return max(1, math.ceil(p * (sure - math.sqrt(-math.log(CHANCE) * (1 - (p - 1) / rare) / (2 * p)))))
+
+
 def frequent(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """(bits, bins, levels): the hashed bins that hold frequent shingles, and the log2 of their counts over all texts.
 
@@ -143,7 +158,11 @@ def frequent(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def sets(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """carry and (id, n, d1, d2, cells, n_hot, vector, text), staged: row, size and digest of the set, its cells of which the last n_hot are frequent, and packed counts."""
+    """carry and (id, n, d1, d2, cells, n_hot, need, vector, text), staged.
+
+    They are the row, the size and digest of its set, its cells, of which the last n_hot are frequent, how many of
+    them it must share, and its packed counts.
+    """
     listed = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
     def run(batches):
@@ -152,7 +171,7 @@ def sets(docs: DataFrame, carry: list[str]) -> DataFrame:
         for batch in batches:
             bits, bins, levels = listed.value
             mask = np.uint64((1 << bits) - 1)
-            found: list[list] = [[] for _ in range(6)]
+            found: list[list] = [[] for _ in range(7)]
             for text in batch.column("text").to_pylist():
                 s = shingles(text)
                 digest = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -162,20 +181,20 @@ def sets(docs: DataFrame, carry: list[str]) -> DataFrame:
                     order = np.where(bins[place] == at, levels[place], 0)
                 by = np.argsort(order, kind="stable")[: prefix_length(len(s))]
                 cells = (s[by] >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-                row = (len(s), (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), cells.tobytes(), int(np.count_nonzero(order[by])), pack_vector(count_vector(s)))
+                row = (len(s), (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), cells.tobytes(), int(np.count_nonzero(order[by])), least_shared(len(s), int(np.count_nonzero(order == 0))), pack_vector(count_vector(s)))
                 for column, value in zip(found, row, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
             made = [pa.array(x, k) for x, k in zip(found, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *MADE])
 
     kept = docs.select(*carry, *(["text"] if "text" not in carry else []))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    rows = kept.mapInArrow(run, f"{kinds}, n long, d1 long, d2 long, cells binary, n_hot int, vector binary")
+    rows = kept.mapInArrow(run, f"{kinds}, n long, d1 long, d2 long, cells binary, n_hot int, need int, vector binary")
     return stage(rows.withColumn("id", F.monotonically_increasing_id()), "jaccard-sets")
 
 
-MADE = ["n", "d1", "d2", "cells", "n_hot", "vector"]
+MADE = ["n", "d1", "d2", "cells", "n_hot", "need", "vector"]
 
 
 def _spread(batches):
@@ -191,6 +210,21 @@ def _spread(batches):
             yield pa.RecordBatch.from_arrays([pa.array(every[r]), pa.array(marks[r]), pa.array(ids[r])], ["cell", "hot", "id"])
 
 
+def _shared(batches):
+    """Of rows sorted by cell, those whose cell has several sets."""
+    last: pa.RecordBatch | None = None  # one row, which may go on in the next batch
+    before = False  # whether it goes with the row before it
+    for batch in batches:
+        rows = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        cell = rows.column(0).to_numpy()
+        same = cell[1:] == cell[:-1]
+        ok = np.r_[before, same] | np.r_[same, False]
+        last, before = rows.slice(len(cell) - 1), bool(np.r_[before, same][-1])
+        yield rows.slice(0, len(cell) - 1).filter(pa.array(ok[:-1]))
+    if before:
+        yield last
+
+
 def _led(batches):
     """From rows sorted by cell and id: distinct (tile, id) of cells with several sets; a cell's first set leads it."""
     cell, leader = None, -1
@@ -223,7 +257,11 @@ def tiles(points: DataFrame) -> DataFrame:
     Frequent cells, which may hold any share of the sets, get their leaders by partial aggregation.
     """
     spread = lambda rows: rows.select("id", "cells", "n_hot").mapInArrow(_spread, "cell long, hot boolean, id long")
-    rare = spread(points).where("not hot").select("cell", "id").repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_led, "tile long, id long")
+    by_cell = lambda rows, f, out: rows.select("cell", "id").repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(f, out)
+    shared = stage(by_cell(spread(points).where("not hot"), _shared, "cell long, id long"), "jaccard-cells")
+    enough = shared.groupBy("id").agg(F.count("*").alias("has")).join(points.select("id", "need"), "id").where("has >= need")
+    enough = stage(enough.select("id"), "jaccard-enough")
+    rare = by_cell(shared.join(bounded_broadcast(enough), "id", "left_semi"), _led, "tile long, id long")
     hot = spread(points.where("n_hot > 0")).where("hot").select("cell", "id")
     hot = hot.join(hot.groupBy("cell").agg(F.min("id").alias("tile")), "cell").where("id <> tile").select("tile", "id")
     met = stage(rare.unionByName(hot).distinct(), "jaccard-tiles")

@@ -15,14 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 
-GROUPS = 256
+GROUPS = 1024
 FAN = 16
 #: Pairs whose vectors are compared at once; bounds the memory of a join.
-STEP = 16_384
+STEP = 8192
 
 
 def count_vector(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+    return np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=GROUPS)
 
 
 def pack_vector(counts: np.ndarray) -> bytes:
