@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,26 @@ def test_cutoffs_reject_bad_and_keep_good(spark):
     assert none.where("kept").count() == 50
 
 
+def test_joint_cutoffs_hold_their_bound(spark):
+    """300 strata as independent draws, each at level DELTA: few lose more than ALPHA of their good rows to the chosen cutoffs."""
+    draws, rng = 300, np.random.default_rng(5)
+    good_symbols, good_shouts, bad = rng.integers(0, 101, (draws, 600)), rng.integers(0, 101, (draws, 600)), rng.integers(30, 200, (draws, 300))
+    rows, labels, at = [], [], 0
+    for d in range(draws):
+        for x, y, g in [*zip(good_symbols[d].tolist(), good_shouts[d].tolist(), [1] * 600, strict=True), *((x, 10, 0) for x in bad[d].tolist())]:
+            rows.append((at, str(d), 100, 500, x, 0, 0, y * 5, False))
+            labels.append((at, g))
+            at += 1
+    schema = ", ".join(["doc_id long", "lang string", *(f"{c} long" for c in quality.COUNTS), "base_failed boolean"])
+    measured, truth = spark.createDataFrame(rows, schema), spark.createDataFrame(labels, "doc_id long, quality int")
+    found = quality.calibrate(measured, truth, delta=quality.DELTA * draws).collect()
+    # Good symbols a word are 0 to 1 in hundredths, and so is the share of capitals: the true loss is known.
+    lost = lambda c: 1 - np.prod([(np.floor(min(c.get(r, 9), 1) * 100 + 1e-9) + 1) / 101 for r in ("symbols", "shouting")])
+    wrong = sum(lost(r.cutoffs) > quality.ALPHA for r in found)
+    assert len(found) > draws / 2 and wrong <= 0.05 * draws + 8
+    assert all(r.tail <= quality.DELTA and r.cutoffs for r in found)
+
+
 # ----------------------------------------------------------------- 3 sharding
 def test_shards_are_exact_and_gapless(spark, sf, texts, edge, empty):
     rows = sharding.op3_sharding(spark, sf).collect()
@@ -272,6 +293,16 @@ def test_jaccard_large_tiles(spark, monkeypatch, block, few, frequent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(df).collect()} == brute_components(docs)
 
 
+def test_linked_sets_share_enough_cells():
+    """Draws of rare shingles never share fewer cells than a set that links must."""
+    rng = np.random.default_rng(6)
+    for n, rare in ((5, 5), (40, 40), (120, 100), (300, 300), (300, 90), (2000, 1900)):
+        need, p = jaccard.least_shared(n, rare), jaccard.prefix_length(n)
+        drawn = rng.hypergeometric(rare - (p - 1), p - 1, p, 20_000).min() if rare >= p else 1
+        assert 1 <= need <= drawn
+    assert jaccard.least_shared(2000, 2000) > 250 and jaccard.least_shared(300, 10) == 1
+
+
 def test_frequencies_count_all_texts(spark):
     docs = spark.createDataFrame([(i, f"common words of every text here {i}") for i in range(300)], "doc_id long, text string").repartition(5)
     bits, bins, levels = jaccard.frequent(docs)
@@ -291,8 +322,8 @@ def test_tree_join_loses_no_pair():
     assert linked and linked <= set(found) and len(found) < 150 * 149 / 4 and set(found.values()) == {1}
     marked = rtree.Forest(tree, points, sizes, np.arange(150) % 12)
     assert all(u % 12 != v % 12 for x, y in marked.join(np.array([0, 0]), np.array([0, 1]), 75, 100) for u, v in zip(x.tolist(), y.tolist(), strict=True))
-    wide = rtree.unpack_vectors([rtree.pack_vector(np.full(256, 300)), rtree.pack_vector(np.full(256, 3))])
-    assert wide.tolist() == [[300] * 256, [3] * 256]
+    wide = rtree.unpack_vectors([rtree.pack_vector(np.full(1024, 300)), rtree.pack_vector(np.full(1024, 3))])
+    assert wide.tolist() == [[300] * 1024, [3] * 1024]
 
 
 # ----------------------------------------------------------------- 7 bpe, and the word encoder
@@ -353,19 +384,36 @@ def test_packing(spark, sf, texts, edge, empty):
     assert check_packed(packing.packed_rows(edge).collect(), 2048) >= 1 and packing.packed_rows(empty).count() == 0
 
 
-def test_runs_are_best_fit_decreasing():
+def best_fit_decreasing(lengths, capacity):
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= x), default=None)
+        if fit is None:
+            gaps.append(capacity - x)
+        else:
+            gaps[gaps.index(fit)] = fit - x
+    return len(gaps)
+
+
+def test_supersteps_place_like_best_fit_decreasing(spark):
     rng = random.Random(9)
-    for _ in range(30):
+    for _ in range(40):
         lengths = [rng.randrange(1, 65) for _ in range(rng.randrange(1, 200))]
-        gaps = []
-        for x in sorted(lengths, reverse=True):
-            fit = min((g for g in gaps if g >= x), default=None)
-            if fit is None:
-                gaps.append(64 - x)
-            else:
-                gaps[gaps.index(fit)] = fit - x
-        runs, n = packing.plan_runs(dict(Counter(lengths)), 64)
-        assert n == len(gaps) and sum(r[2] for r in runs) == len(lengths)
+        want = best_fit_decreasing(lengths, 64)
+        left, now, opened, steps = dict(Counter(lengths)), {}, 0, 0
+        while left:
+            runs, rest = packing.sweep(left, now, 64)
+            assert sum(r[1] for r in runs) + sum(rest.values()) == sum(left.values()) and runs
+            opened += sum(r[3] for r in runs if not r[2])
+            now, left, steps = packing.after(runs, now, 64), rest, steps + 1
+        assert opened <= want + max(1, want // 50) and steps <= 12
+    # Ties, equal rows, other columns, and every row placed once.
+    rows = [(i % 7, 1 + (i * i) % 64, 5) for i in range(900)] + [(3, 64, 5)] * 20
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, length long, offset int").repartition(5), 64).collect()
+    assert Counter((r.doc_id, r.length) for r in out) == Counter((a, b) for a, b, _ in rows)
+    assert check_packed(out, 64) <= best_fit_decreasing([b for _, b, _ in rows], 64) * 1.02 + 1
+    with pytest.raises(Exception, match="length"):
+        packing.pack(spark.createDataFrame([(1, 65)], "doc_id long, length long"), 64)
 
 
 # ----------------------------------------------------------------- 9 embeddings
@@ -403,6 +451,53 @@ def test_embeddings(spark):
     assert len(twice) == 6 and all(r.n_links >= 1 for r in twice)
 
 
+def test_embeddings_of_the_table(spark, sf):
+    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.op9_embeddings(spark, sf).collect()} == brute_vectors(rows)
+
+
+def test_embeddings_link_by_vectors_alone(spark):
+    """Groups of three near vectors of which one has no id, repeated ids with other vectors, extra columns."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(20):
+        centre = rng.normal(0, 1, 16)
+        for k in range(3):
+            rows.append((None if k == g % 3 else 10 * g + k, (centre + rng.normal(0, 0.05, 16)).tolist(), 1))
+    rows += [(7, [1.0] + [0.0] * 15, 1), (7, [0.0, 1.0] + [0.0] * 14, 1), (500, [0.0, 1.0] + [0.0] * 14, 1), (None, None, 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int"), tiles=3).collect()
+    assert len(got) == len(rows) and Counter((r.n_links, r.component_id) for r in got if r.vec_id is None) == Counter([(2, 10 * g + (1 if g % 3 == 0 else 0)) for g in range(20)] + [(0, None)])
+    for r in got:
+        if r.vec_id is not None and r.vec_id < 200 and r.vec_id != 7:
+            g = r.vec_id // 10
+            assert (r.n_links, r.component_id) == (2, 10 * g + (1 if g % 3 == 0 else 0))
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got if r.vec_id in (7, 500)) >= Counter([(7, 0, 7), (7, 1, 7), (500, 1, 7)])
+
+
+def test_doubtful_pairs_are_recomputed():
+    """Pairs so near the threshold that codes can't tell."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, 32)
+    x /= np.linalg.norm(x)
+    rows = []
+    for _ in range(60):
+        y = rng.normal(0, 1, 32)
+        y -= (x @ y) * x
+        c = 0.95 + rng.choice([-1, 1]) * 10.0 ** rng.integers(-9, -3)
+        rows.append(c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y))
+    raw = np.array([x, *rows])
+    codes, scale, error = embeddings.quantise(raw)
+    t = pa.table({"tile": np.zeros(61, dtype=np.int32), "x": np.zeros(61, dtype=np.int32), "y": np.zeros(61, dtype=np.int32), "dim": np.full(61, 32), "cls": np.arange(61), "n": np.ones(61, dtype=np.int64), "codes": [c.tobytes() for c in codes], "scale": scale, "error": error, "raw": [r.tobytes() for r in raw]})
+    sure, late = (embeddings._join(0.95, late)(t) for late in (False, True))
+    total = dict.fromkeys(range(61), 0)
+    for out in (sure, late):
+        for c, n in zip(out.column("cls").to_pylist(), out.column("links").to_pylist(), strict=True):
+            total[c] += n
+    cos = raw @ raw.T / np.sqrt((raw * raw).sum(1)[:, None] * (raw * raw).sum(1))
+    want = (cos >= 0.95).sum(1) - 1
+    assert [total[i] for i in range(61)] == want.tolist() and sum(sure.column("doubt").to_pylist()) > 30 and 0 < want[0] < 60
+
+
 def test_embedding_bound_holds():
     rng = np.random.default_rng(8)
     x = rng.normal(0, 1, (200, 24)) * rng.lognormal(0, 2, (200, 1))
