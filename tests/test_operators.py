@@ -173,7 +173,7 @@ def test_address_codecs():
     assert bitcoin.segwit_decode(address) == ("bc", 0, program, "bech32") and bitcoin.segwit_encode("bc", 0, program) == address
     payload = bytes.fromhex("010966776006953d5567439e5e39f86a0d273bee")
     assert bitcoin.base58check_decode(bitcoin.base58check_encode(0, payload)) == (0, payload)
-    assert not bitcoin.describe(address[:-1] + "5")[0] and bitcoin.describe(None) == (False, "invalid", "none")
+    assert not bitcoin.describe(address[:-1] + "5")[0] and bitcoin.describe(None) == (False, "invalid", "none", None)
 
 
 def focus_graph(spark):

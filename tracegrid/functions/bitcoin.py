@@ -21,20 +21,19 @@ def _check(data: bytes) -> bytes:
 
 
 def base58check_encode(version: int, payload: bytes) -> str:
-    data = bytes([version]) + payload
-    data += _check(data)
-    n, out = int.from_bytes(data, "big"), ""
-    while n:
-        n, r = divmod(n, 58)
-        out = BASE58[r] + out
-    return "1" * (len(data) - len(data.lstrip(b"\0"))) + out
+    """The version, the payload and their check as one whole number in base 58; leading zero bytes are ones."""
+    body = bytes([version]) + payload
+    data = body + _check(body)
+    number, places = int.from_bytes(data, "big"), len(data) * 138 // 100 + 1
+    digits = "".join(BASE58[number // 58**k % 58] for k in reversed(range(places)))
+    zeros = len(data) - len(data.lstrip(b"\0"))
+    return "1" * zeros + digits.lstrip("1")
 
 
 def base58check_decode(text: str) -> tuple[int, bytes]:
-    n = 0
-    for c in text:
-        n = n * 58 + BASE58.index(c)
-    data = b"\0" * (len(text) - len(text.lstrip("1"))) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+    number = sum(BASE58.index(c) * 58**k for k, c in enumerate(reversed(text)))
+    zeros = len(text) - len(text.lstrip("1"))
+    data = bytes(zeros) + number.to_bytes(-(-number.bit_length() // 8), "big")
     if len(data) < 5 or _check(data[:-4]) != data[-4:]:
         raise ValueError("checksum")
     return data[0], data[1:-4]
@@ -54,19 +53,17 @@ def _expand(hrp: str) -> list[int]:
 
 
 def regroup(data: list[int], width: int, to: int, pad: bool) -> list[int]:
-    acc = bits = 0
-    out = []
-    for v in data:
-        acc, bits = acc << width | v, bits + width
-        while bits >= to:
-            bits -= to
-            out.append(acc >> bits & (1 << to) - 1)
-    rest = acc << (to - bits) & (1 << to) - 1 if bits else 0
-    if pad and bits:
-        out.append(rest)
-    elif not pad and (bits >= width or rest):
-        raise ValueError("padding")
-    return out
+    """The bits of numbers of one width as numbers of another, by one whole number that holds them all."""
+    bits = width * len(data)
+    number = sum(v << bits - width * (i + 1) for i, v in enumerate(data))
+    over = bits % to
+    if over and pad:
+        number, bits = number << to - over, bits + to - over
+    elif over:
+        if over >= width or number % (1 << over):
+            raise ValueError("padding")
+        number, bits = number >> over, bits - over
+    return [number >> at & (1 << to) - 1 for at in range(bits - to, -1, -to)]
 
 
 def segwit_encode(hrp: str, version: int, program: bytes) -> str:
@@ -92,23 +89,38 @@ def segwit_decode(text: str) -> tuple[str, int, bytes, str]:
     return hrp, version, program, kind
 
 
-def describe(address: str | None) -> tuple[bool, str, str]:
-    """(valid, kind, checksum)."""
+def describe(address: str | None) -> tuple[bool, str, str, str | None]:
+    """(valid, kind, checksum, program in hexadecimal digits)."""
     text = (address or "").strip()
     try:
         if text.lower().startswith(("bc1", "tb1", "bcrt1")):
             _, version, program, kind = segwit_decode(text)
-            return True, {(0, 20): "P2WPKH", (0, 32): "P2WSH", (1, 32): "P2TR"}.get((version, len(program)), f"witness-v{version}"), kind
+            return True, {(0, 20): "P2WPKH", (0, 32): "P2WSH", (1, 32): "P2TR"}.get((version, len(program)), f"witness-v{version}"), kind, program.hex()
         version, payload = base58check_decode(text)
-        return (len(payload) == 20 and version in VERSIONS), VERSIONS.get(version, "unknown"), "base58check"
+        return (len(payload) == 20 and version in VERSIONS), VERSIONS.get(version, "unknown"), "base58check", payload.hex()
     except ValueError:
-        return False, "invalid", "none"
+        return False, "invalid", "none", None
 
 
 def describe_address(address: Column) -> Column:
-    """Struct (valid, kind, checksum) of an address column, by Arrow batches."""
+    """Struct (valid, kind, checksum, program) of an address column, by Arrow batches."""
 
     def run(addresses: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([describe(a) for a in addresses], columns=["valid", "kind", "checksum"])
+        return pd.DataFrame([describe(a) for a in addresses], columns=["valid", "kind", "checksum", "program"])
 
-    return F.pandas_udf(run, "struct<valid: boolean, kind: string, checksum: string>")(address)
+    return F.pandas_udf(run, "struct<valid: boolean, kind: string, checksum: string, program: string>")(address)
+
+
+def address_of(program: Column, kind: Column) -> Column:
+    """The address of a program in hexadecimal digits: P2PKH, P2SH, P2WPKH, P2WSH or P2TR."""
+
+    def encode(program: str, kind: str) -> str:
+        data = bytes.fromhex(program)
+        if kind in ("P2PKH", "P2SH"):
+            return base58check_encode(0 if kind == "P2PKH" else 5, data)
+        return segwit_encode("bc", 1 if kind == "P2TR" else 0, data)
+
+    def run(programs: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([encode(p, k) for p, k in zip(programs, kinds, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")(program, kind)

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from .. import config
 from ..functions.scalars import array_sum, pop_cv
-from .iterate import connected_components, prepared, settled
+from .iterate import connected_components, settled
 
 
 def merge_hazard(max_inputs: int = config.COMMON_INPUT_MAX, min_outputs: int = config.MIX_OUTPUTS, cv: float = config.MIX_CV) -> Column:
@@ -44,11 +44,11 @@ def _local_moves(pairs: DataFrame, resolution: float, rounds: int) -> DataFrame:
     Which half may move alternates by hash, so two nodes seldom swap places; a node only moves for a gain.
     """
     both = pairs.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"), "weight").select(F.col("x.a").alias("id"), F.col("x.b").alias("to"), "weight")
-    both = both.groupBy("id", "to").agg(F.sum("weight").alias("weight")).checkpoint()
+    both = settled(both.groupBy("id", "to").agg(F.sum("weight").alias("weight")))
     loops = pairs.where("a = b").select(F.col("a").alias("id"), (2 * F.col("weight")).alias("weight"))
-    k = both.select("id", "weight").unionByName(loops).groupBy("id").agg(F.sum("weight").alias("k")).checkpoint()
-    m2 = k.agg(F.sum("k")).first()[0]
-    state = k.select("id", "k", F.col("id").alias("community")).checkpoint()
+    k, found = settled(both.select("id", "weight").unionByName(loops).groupBy("id").agg(F.sum("weight").alias("k")), m2=F.sum("k"))
+    m2 = found["m2"]
+    state = k.select("id", "k", F.col("id").alias("community"))
     if not m2:
         return state.select("id", "community")
     for r in range(rounds):
@@ -60,12 +60,12 @@ def _local_moves(pairs: DataFrame, resolution: float, rounds: int) -> DataFrame:
         gain = F.col("w") - resolution * F.col("k") * (F.col("tot") - F.when(own, F.col("k")).otherwise(0.0)) / m2
         best = seen.withColumn("gain", gain).groupBy("id").agg(F.max(F.struct(F.round("gain", 12).alias("g"), own.alias("stay"), F.col("c").alias("c"))).alias("b"))
         turn = F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2
-        new = settled(state.join(best, "id").select("id", "k", F.when(turn, F.col("b.c")).otherwise(F.col("community")).alias("community"), F.col("community").alias("old")))
-        moved = new.where("community <> old").limit(1).count()
+        moved = state.join(best, "id").select("id", "k", F.when(turn, F.col("b.c")).otherwise(F.col("community")).alias("community"), F.col("community").alias("old"))
+        new, found = settled(moved, n=F.count_if(F.col("community") != F.col("old")))
         state = new.select("id", "k", "community")
-        if not moved and r % 2:
+        if not found["n"] and r % 2:
             break
-    return state.select("id", "community").checkpoint()
+    return state.select("id", "community")
 
 
 def louvain(pairs: DataFrame, resolution: float = config.LOUVAIN_RESOLUTION, rounds: int = 10, levels: int = 4) -> DataFrame:
@@ -73,8 +73,7 @@ def louvain(pairs: DataFrame, resolution: float = config.LOUVAIN_RESOLUTION, rou
 
     Deterministic; if the result is worse than connected components, those are returned.
     """
-    prepared(pairs.sparkSession)
-    pairs = pairs.select("a", "b", "weight").checkpoint()
+    pairs = settled(pairs.select("a", "b", "weight"))
     labels, graph, best = None, pairs, None
     for _ in range(levels):
         step = _local_moves(graph, resolution, rounds)

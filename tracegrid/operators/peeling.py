@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.scalars import array_sum, clamp, pop_cv
+from .iterate import settled
 
 
 def candidates(tx: DataFrame, asymmetry: float = config.PEEL_ASYMMETRY, min_share: float = config.PEEL_MIN_SHARE) -> DataFrame:
@@ -54,25 +55,22 @@ def pick_chains(walk_rows: DataFrame) -> DataFrame:
     the same choice as going through all walks in order. The best walk left always wins, so the rounds end when
     no walk is left; a peel chain of n hops, whose walks rank in order, takes about n / 8 rounds.
     """
-    from .iterate import prepared
-
-    prepared(walk_rows.sparkSession)
-    rest = walk_rows.withColumn("rank", F.struct(-F.col("length"), -F.col("value"), F.col("start"))).checkpoint()
+    rest = settled(walk_rows.withColumn("rank", F.struct(-F.col("length"), -F.col("value"), F.col("start"))))
     out, rounds = None, 0
     while True:
         at = rest.select("start", "rank", F.explode("txids").alias("txid"))
         best = at.groupBy("txid").agg(F.min("rank").alias("best"))
         won = at.join(best, "txid").groupBy("start").agg(F.min((F.col("rank") == F.col("best")).cast("int")).alias("all")).where("all = 1")
-        taken = rest.join(won.select("start"), "start", "left_semi").checkpoint()
-        if not taken.limit(1).count():
+        taken, found = settled(rest.join(won.select("start"), "start", "left_semi"), n=F.count(F.lit(1)))
+        if not found["n"]:
             break
         out = taken if out is None else out.unionByName(taken)
         rounds += 1
         if rounds % 32 == 0:  # else the plan grows with the rounds
-            out = out.coalesce(8).checkpoint()
+            out = settled(out.coalesce(8))
         used = taken.select(F.explode("txids").alias("txid")).distinct()
         hit = at.join(used, "txid", "left_semi").select("start").distinct()
-        rest = rest.join(hit, "start", "left_anti").checkpoint()
+        rest = settled(rest.join(hit, "start", "left_anti"))
     return (out if out is not None else rest.limit(0)).drop("rank")
 
 

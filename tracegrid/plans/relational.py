@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,6 +12,7 @@ from .. import config
 from ..functions import scalars as S
 from ..operators import correlate as C
 from ..operators import enrich as E
+from ..operators import evidence as V
 from ..operators import features as X
 from ..sources import readers as R
 from . import model as M
@@ -37,41 +40,52 @@ def enriched(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ----------------------------------------------------------------- scans
-def _round_trip(spark: SparkSession, d: str, form: str, read) -> DataFrame:
-    """The nation table written in a text format into the shared folder and read back by the scan under test."""
+def _scan_dir(spark: SparkSession, form: str) -> str:
     from ..operators.iterate import prepared
 
     prepared(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/scan-{form}"
-    rows = M.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("N NationKey"), F.col("n_name").alias("n_name"))
+    return f"{spark.sparkContext.getCheckpointDir()}/scan-{form}-{uuid.uuid4().hex}"
+
+
+def _round_trip(spark: SparkSession, d: str, form: str, read) -> DataFrame:
+    """The customer table written in a text format into the shared folder and read back by the scan under test."""
+    path = _scan_dir(spark, form)
+    rows = M.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("C CustKey"), F.col("c_name").alias("c_name"))
     if form == "csv":
-        rows.write.mode("overwrite").option("header", True).csv(path)
+        rows.write.option("header", True).csv(path)
     elif form == "xml":
-        rows.withColumnRenamed("N NationKey", "n_nationkey").write.mode("overwrite").format("xml").option("rowTag", "transaction").option("rootTag", "transactions").save(path)
+        rows.withColumnRenamed("C CustKey", "c_custkey").write.format("xml").option("rowTag", "transaction").option("rootTag", "transactions").save(path)
+    elif form == "json":
+        # Documents of many lines: an array of objects for each bucket of rows, or an object that wraps a list.
+        parts = rows.groupBy(F.pmod(F.col("C CustKey").cast("long"), F.lit(8)).alias("k")).agg(F.concat_ws(",\n  ", F.collect_list(F.to_json(F.struct("C CustKey", "c_name")))).alias("body"))
+        parts = parts.repartition(8, "k")
+        for name, odd, first, last in (("arrays", 0, "[\n  ", "\n]"), ("wrapped", 1, '{"transactions": [\n  ', "\n]}")):
+            parts.where(F.col("k") % 2 == odd).select(F.concat(F.lit(first), "body", F.lit(last)).alias("value"), "k").write.partitionBy("k").text(f"{path}/{name}")
+        return read(spark, f"{path}/arrays").select("c_custkey", "c_name").unionByName(read(spark, f"{path}/wrapped").select("c_custkey", "c_name"))
     else:
-        rows.write.mode("overwrite").json(path)
-    return read(spark, path).select("n_nationkey", "n_name")
+        rows.write.json(path)
+    return read(spark, path).select("c_custkey", "c_name")
 
 
-NATION_SQL = "SELECT CAST(n_nationkey AS VARCHAR) n_nationkey, n_name FROM nation"
+CUSTOMER_SQL = "SELECT CAST(c_custkey AS VARCHAR) c_custkey, c_name FROM customer"
 
 
-@query("scan_csv", NATION_SQL, model=False)
+@query("scan_csv", CUSTOMER_SQL, model=False)
 def _(spark, d):
     return _round_trip(spark, d, "csv", R.read_csv)
 
 
-@query("scan_jsonl", NATION_SQL, model=False)
+@query("scan_jsonl", CUSTOMER_SQL, model=False)
 def _(spark, d):
     return _round_trip(spark, d, "jsonl", R.read_jsonl)
 
 
-@query("scan_json", NATION_SQL, model=False)
+@query("scan_json", CUSTOMER_SQL, model=False)
 def _(spark, d):
-    return _round_trip(spark, d, "json", R.read_jsonl)
+    return _round_trip(spark, d, "json", R.read_json)
 
 
-@query("scan_xml", NATION_SQL, model=False)
+@query("scan_xml", CUSTOMER_SQL, model=False)
 def _(spark, d):
     return _round_trip(spark, d, "xml", R.read_xml)
 
@@ -82,12 +96,15 @@ def _(spark, d):
     return spark.createDataFrame([(R.guess_kind(c),) for c in (tx, net, tx + net, ["timestamp", "txid"])], "kind string")
 
 
-@query("split_mixed", "SELECT (SELECT count(*) FROM net) + 0 AS net_rows, (SELECT count(*) FROM tx) tx_rows, 'ok' AS state")
+@query("split_mixed", "SELECT 'tx' part, txid, array_to_string(list_sort(inputs), '|') a, array_to_string(list_sort(outputs), '|') b, count(*) n FROM tx GROUP BY ALL UNION ALL SELECT 'net', txid, src_ip, dst_ip, count(*) FROM net GROUP BY ALL")
 def _(spark, d):
     t = M.transactions(spark, d).select("txid", F.array_join("inputs", "|").alias("input_addresses"), F.array_join("outputs", "|").alias("output_addresses"), F.col("fee").cast("string").alias("fee"))
     n = M.network(spark, d).select("txid", "src_ip", "dst_ip", "protocol")
     tx, net = R.split_mixed(t.unionByName(n, allowMissingColumns=True))
-    return tx.agg(F.count("*").alias("tx_rows"), F.lit(1).alias("k")).join(net.agg(F.count("*").alias("net_rows"), F.lit(1).alias("k")), "k").select("net_rows", "tx_rows", F.lit("ok").alias("state"))
+    listed = lambda c: F.array_join(F.array_sort(F.split(c, r"\|")), "|")
+    tx = tx.select(F.lit("tx").alias("part"), "txid", listed("input_addresses").alias("a"), listed("output_addresses").alias("b"))
+    net = net.select(F.lit("net").alias("part"), "txid", F.col("src_ip").alias("a"), F.col("dst_ip").alias("b"))
+    return tx.unionByName(net).groupBy("part", "txid", "a", "b").agg(F.count("*").alias("n"))
 
 
 @query("norm_tx", "SELECT txid, CAST(len(inputs) AS INT) n_in, CAST(len(outputs) AS INT) n_out, floor(list_sum(output_amounts) * 100 + 0.5) / 100 total_out, script_type, us FROM tx")
@@ -452,22 +469,11 @@ def _(spark, d):
     return top.groupBy("txid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "rec"))), lambda x: x["rec"].cast("string")), " ").alias("recs"))
 
 
-@query("chain_link_check", "SELECT o_orderkey, coalesce(lag(h) OVER (ORDER BY o_orderkey), repeat('0', 64)) prev FROM (SELECT o_orderkey, sha256(o_orderstatus || o_orderkey) h FROM orders WHERE o_custkey % 50 = 0)", model=False)
-def _(spark, d):
-    o = M.table(spark, d, "orders").where("o_custkey % 50 = 0").select("o_orderkey", F.sha2(F.concat("o_orderstatus", F.col("o_orderkey").cast("string")), 256).alias("h"))
-    return o.select("o_orderkey", F.lag("h", 1, "0" * 64).over(W.orderBy("o_orderkey")).alias("prev"))
-
-
-@query("chain_links")
+@query("chain_link_check", "SELECT o_orderkey, coalesce(lag(h) OVER (ORDER BY o_orderkey), repeat('0', 64)) prev FROM (SELECT o_orderkey, sha256(o_orderstatus || o_orderkey) h FROM orders)", model=False)
 def _(spark, d):
-    """chain_link_check over all orders, in ranges of the key; each starts from the last hash of the range before."""
+    """Over all orders, in ranges of the key; each starts from the last hash of the range before."""
     o = M.table(spark, d, "orders").select("o_orderkey", F.sha2(F.concat("o_orderstatus", F.col("o_orderkey").cast("string")), 256).alias("h"))
-    cuts = sorted(set(o.stat.approxQuantile("o_orderkey", [i / 64 for i in range(1, 64)], 0.005)))
-    part = F.aggregate(F.array(*(F.lit(c) for c in cuts)), F.lit(0), lambda a, c: a + F.when(F.col("o_orderkey") > c, 1).otherwise(0)) if cuts else F.lit(0)
-    o = o.withColumn("part", part)
-    ends = o.groupBy("part").agg(F.max_by("h", "o_orderkey").alias("last")).select("part", F.lag("last", 1, "0" * 64).over(W.orderBy("part")).alias("before"))  # 64 rows
-    lag = F.lag("h").over(W.partitionBy("part").orderBy("o_orderkey"))
-    return o.withColumn("prev", lag).join(F.broadcast(ends), "part").select("o_orderkey", F.coalesce("prev", "before").alias("prev"))
+    return V.previous(o, "o_orderkey", "h", "prev", V.GENESIS)
 
 
 @query("diversity_rank", "SELECT o_orderkey, o_orderpriority, p FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) p FROM orders) ORDER BY CASE WHEN p <= 2 THEN 0 ELSE 1 END, o_totalprice DESC, o_orderkey LIMIT 60", model=False)

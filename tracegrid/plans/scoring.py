@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.bitcoin import describe_address
+from ..functions.bitcoin import address_of, describe_address
 from ..functions.scalars import array_sum
 from ..operators import alerts as A
 from ..operators import anomaly as N
@@ -36,7 +36,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return G.flow_edges(flows(spark, d))
 
 
-EDGES = "ed AS (SELECT CASE side WHEN 'in' THEN wallet ELSE txid END source, CASE side WHEN 'in' THEN txid ELSE wallet END target, side edge_type, sum(amount) amount, count(*) occurrences, min(us) us FROM flows GROUP BY txid, wallet, side)"
+EDGES = "ed AS MATERIALIZED (SELECT CASE side WHEN 'in' THEN wallet ELSE txid END source, CASE side WHEN 'in' THEN txid ELSE wallet END target, side edge_type, sum(amount) amount, count(*) occurrences, min(us) us FROM flows GROUP BY txid, wallet, side)"
 PROJ = f"""{EDGES}, pr AS (SELECT a.target txid, a.source src, b.target dst, b.amount, b.amount / t.total share FROM ed a JOIN ed b ON a.target = b.source AND a.edge_type = 'in' AND b.edge_type = 'out'
  JOIN (SELECT target txid, sum(amount) total FROM ed WHERE edge_type = 'in' GROUP BY target) t ON t.txid = a.target)"""
 UND = f"{PROJ}, un AS (SELECT least(src, dst) a, greatest(src, dst) b, sum(share) weight FROM pr GROUP BY 1, 2)"
@@ -107,24 +107,25 @@ def _(spark, d):
     return G.neighbourhood(e, M.seeds(spark, d).select(F.col("wallet").alias("id")).join(here, "id", "left_semi"), 2)
 
 
-@query("graph_stats")
-def _(spark, d):
-    t = M.transactions(spark, d)
-    f = M.flows(t)
-    return G.stats(G.nodes(t, f, None, M.seeds(spark, d)), G.flow_edges(f))
+#: Smallest labels spread along adj (a, b) until none falls.
+SPREAD = """cc(id, comp) USING KEY (id) AS (SELECT id, id FROM (SELECT DISTINCT a id FROM adj)
+ UNION (SELECT adj.b, min(cc.comp) FROM cc JOIN adj ON adj.a = cc.id JOIN recurring.cc u ON u.id = adj.b WHERE cc.comp < u.comp GROUP BY adj.b))"""
 
 
-@query("weak_components", "SELECT 'c' || (o_custkey % 100) AS node, 'c' || (o_custkey % 100) AS component FROM orders WHERE 1 = 0 UNION ALL SELECT DISTINCT 'n' || n_nationkey, (SELECT min(x) FROM (SELECT 'n' || m.n_nationkey x FROM nation m WHERE m.n_regionkey = nation.n_regionkey)) FROM nation", model=False)
+@query("weak_components", f"{EDGES}, adj AS MATERIALIZED (SELECT source a, target b FROM ed UNION SELECT target, source FROM ed), {SPREAD} SELECT id node, comp component FROM cc")
 def _(spark, d):
-    n = M.table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), "n_regionkey")
-    pairs = n.select(F.col("id").alias("src"), "n_regionkey").join(n.select(F.col("id").alias("dst"), "n_regionkey"), "n_regionkey").select("src", "dst")
-    return I.connected_components(pairs)
+    return I.connected_components(edges(spark, d).select(F.col("source").alias("src"), F.col("target").alias("dst")))
 
 
-@query("graph_components")
+@query("graph_stats", f"""{EDGES}, adj AS MATERIALIZED (SELECT source a, target b FROM ed UNION SELECT target, source FROM ed), {SPREAD}, wa AS (SELECT DISTINCT wallet FROM flows),
+n AS (SELECT (SELECT count(*) FROM wa) wallets, (SELECT count(*) FROM tx) transactions, (SELECT count(*) FROM wa WHERE wallet IN (SELECT wallet FROM seeds)) seeds, (SELECT count(*) FROM ed) edges)
+SELECT wallets + transactions nodes, wallets, transactions, seeds, edges, floor(edges / ((wallets + transactions) * (wallets + transactions - 1)) * 1e9 + 0.5) / 1e9 density, floor(2 * edges / (wallets + transactions) * 1e6 + 0.5) / 1e6 avg_degree,
+(SELECT max(c) FROM (SELECT count(*) c FROM (SELECT unnest([source, target]) id FROM ed) GROUP BY id)) max_degree, (SELECT count(DISTINCT comp) FROM cc) components, (SELECT floor(sum(amount) + 0.5) FROM ed) total_value FROM n""")
 def _(spark, d):
-    """weak_components over the edges of the graph; the SQL of that one knows nations only."""
-    return I.connected_components(edges(spark, d).select(F.col("source").alias("src"), F.col("target").alias("dst")))
+    t = M.transactions(spark, d)
+    f = M.flows(t)
+    found = G.stats(G.nodes(t, f, None, M.seeds(spark, d)), G.flow_edges(f))
+    return found.withColumns({"density": M.rnd(F.col("density"), 9), "avg_degree": M.rnd(F.col("avg_degree")), "total_value": F.floor(F.col("total_value") + 0.5)})
 
 
 def pagerank_sql(rounds: int, seeded: bool) -> str:
@@ -167,34 +168,32 @@ def _(spark, d):
     return R.seed_pagerank(G.projection(f), f.select("wallet"), here).select(F.col("wallet").alias("id"), M.rnd(F.col("risk_pagerank"), 9).alias("rank"))
 
 
-def proximity_sql(rounds: int = 12) -> str:
-    base = -math.log(config.RISK_DECAY)
-    out = f"{UND}, dg AS (SELECT id, count(*) d FROM (SELECT unnest([a, b]) id FROM un) GROUP BY id), pe AS (SELECT id, CASE WHEN d > 15 THEN ln(1 + d / 15) ELSE 0 END pen FROM dg), "
-    out += f"ar AS MATERIALIZED (SELECT x.a, x.b, {base!r} * (1 + p.pen + q.pen) cost FROM (SELECT a, b FROM un WHERE a <> b UNION ALL SELECT b, a FROM un WHERE a <> b) x JOIN pe p ON p.id = x.a JOIN pe q ON q.id = x.b), d0 AS MATERIALIZED (SELECT id, 0.0::DOUBLE dist FROM dg WHERE id IN (SELECT wallet FROM seeds))"
-    for i in range(rounds):
-        out += f", d{i + 1} AS MATERIALIZED (SELECT id, min(dist) dist FROM (SELECT * FROM d{i} UNION ALL SELECT ar.b, s.dist + ar.cost FROM d{i} s JOIN ar ON ar.a = s.id) GROUP BY id)"
-    return out + f" SELECT id, floor(exp(-dist) * 1e6 + 0.5) / 1e6 proximity FROM d{rounds} WHERE exp(-dist) >= 0.01"
+PROXIMITY_SQL = f"""{UND}, dg AS (SELECT id, count(*) d FROM (SELECT unnest([a, b]) id FROM un) GROUP BY id), pe AS (SELECT id, CASE WHEN d > 15 THEN ln(1 + d / 15) ELSE 0 END pen FROM dg),
+ar AS MATERIALIZED (SELECT x.a, x.b, {-math.log(config.RISK_DECAY)!r} * (1 + p.pen + q.pen) cost FROM (SELECT a, b FROM un WHERE a <> b UNION ALL SELECT b, a FROM un WHERE a <> b) x JOIN pe p ON p.id = x.a JOIN pe q ON q.id = x.b),
+ds(id, dist, hops) USING KEY (id) AS (SELECT id, 0.0::DOUBLE, 0 FROM dg WHERE id IN (SELECT wallet FROM seeds)
+ UNION (SELECT n.b, n.m.dist, n.m.hops FROM (SELECT ar.b, min({{'dist': ds.dist + ar.cost, 'hops': ds.hops + 1}}) m FROM ds JOIN ar ON ar.a = ds.id GROUP BY ar.b) n LEFT JOIN recurring.ds u ON u.id = n.b WHERE u.id IS NULL OR n.m.dist < u.dist - 1e-12))
+SELECT id, floor(exp(-dist) * 1e6 + 0.5) / 1e6 proximity FROM ds WHERE hops <= {config.RISK_MAX_HOPS}"""
 
 
-@query("hub_proximity", proximity_sql())
+@query("hub_proximity", PROXIMITY_SQL)
 def _(spark, d):
-    found = R.proximity(G.undirected(G.projection(flows(spark, d))), M.seeds(spark, d))
-    return found.where("proximity >= 0.01").select("id", r6("proximity"))
+    return R.proximity(G.undirected(G.projection(flows(spark, d))), M.seeds(spark, d)).select("id", r6("proximity"))
 
 
-@query("hub_proximity_all")
-def _(spark, d):
-    """hub_proximity however small; the SQL of that one leaves out what is below 0.01."""
-    return R.proximity(G.undirected(G.projection(flows(spark, d))), M.seeds(spark, d)).select("id", F.col("proximity"), "hops")
+PATHS_SQL = f"""{UND}, st AS (SELECT min(wallet) w FROM flows WHERE side = 'in'), adj AS MATERIALIZED (SELECT a, b FROM un WHERE a <> b UNION SELECT b, a FROM un WHERE a <> b),
+bf(id, parent, hops) USING KEY (id) AS (SELECT w, NULL::VARCHAR, 0 FROM st
+ UNION (SELECT adj.b, min(bf.id), any_value(bf.hops) + 1 FROM bf JOIN adj ON adj.a = bf.id LEFT JOIN recurring.bf u ON u.id = adj.b WHERE u.id IS NULL GROUP BY adj.b)),
+tr(seed, place, path) AS (SELECT wallet, wallet, [wallet] FROM seeds JOIN bf ON bf.id = wallet WHERE wallet <> (SELECT w FROM st) UNION ALL SELECT tr.seed, bf.parent, [bf.parent] || tr.path FROM tr JOIN bf ON bf.id = tr.place WHERE bf.parent IS NOT NULL)
+SELECT seed, len(path) - 1 AS hops, array_to_string(path, ' ') AS path FROM tr WHERE path[1] = (SELECT w FROM st)"""
 
 
-@query("shortest_paths_to_seed")
+@query("shortest_paths_to_seed", PATHS_SQL)
 def _(spark, d):
     f = flows(spark, d)
     start = f.where("side = 'in'").agg(F.min("wallet")).first()[0]
     pairs = G.undirected(G.projection(f)).select(F.col("a").alias("source"), F.col("b").alias("target"))
     goals = M.seeds(spark, d).where(F.col("wallet") != F.lit(start)).select(F.col("wallet").alias("id"))
-    return I.shortest_path(pairs, start, goals).select(F.col("id").alias("seed"), (F.size("path") - 1).alias("hops"), "path")
+    return I.shortest_path(pairs, start, goals).select(F.col("id").alias("seed"), (F.size("path") - 1).alias("hops"), F.array_join("path", " ").alias("path"))
 
 
 # ----------------------------------------------------------------- clusters
@@ -212,19 +211,11 @@ def _(spark, d):
     return safe.select(F.col("inputs")[0].alias("root"), F.explode(F.slice("inputs", 2, 1_000_000)).alias("other"), "txid")
 
 
-COMPONENTS = f"""st AS (SELECT DISTINCT inputs[1] a, unnest(inputs[2:]) b FROM tx WHERE len(inputs) = 2 AND NOT {HAZARD} AND substr(txid, 2)::BIGINT % 23 = 0),
-adj AS (SELECT a, b FROM st UNION SELECT b, a FROM st)"""
+CO_SPENT = f"st AS (SELECT DISTINCT inputs[1] a, unnest(inputs[2:]) b FROM tx WHERE len(inputs) >= 2 AND NOT {HAZARD}), adj AS MATERIALIZED (SELECT a, b FROM st UNION SELECT b, a FROM st), {SPREAD}"
 
 
-@query("common_input_cc", f"{COMPONENTS}, reach AS (SELECT id, root FROM (WITH RECURSIVE rc(id, root) AS (SELECT DISTINCT a, a FROM adj UNION SELECT adj.b, rc.root FROM rc JOIN adj ON adj.a = rc.id) SELECT * FROM rc)) SELECT id node, min(root) component FROM reach GROUP BY id")
+@query("common_input_cc", f"{CO_SPENT} SELECT id node, comp component FROM cc")
 def _(spark, d):
-    few = M.transactions(spark, d).where((F.size("inputs") == 2) & (F.substring("txid", 2, 20).cast("long") % 23 == 0))
-    return K.common_input(few, max_inputs=3, min_outputs=3, cv=0.35)
-
-
-@query("common_input_components")
-def _(spark, d):
-    """common_input_cc over all transactions; the SQL of that one follows two-input orders of a subset only."""
     return K.common_input(M.transactions(spark, d), max_inputs=3, min_outputs=3, cv=0.35)
 
 
@@ -571,17 +562,26 @@ def _(spark, d):
     return V.verify_join(alerts, entries).select("alert_id", "verdict")
 
 
-@query("evidence_hash", "SELECT r_regionkey, sha256('{\"alert_id\":' || r_regionkey || ',\"entity\":\"' || r_name || '\"}') h FROM region", model=False)
+@query("evidence_hash", "SELECT c_custkey, sha256('{\"alert_id\":' || c_custkey || ',\"entity\":\"' || c_name || '\",\"seed\":' || (c_custkey % 97 = 0) || '}') h FROM customer", model=False)
 def _(spark, d):
-    h = F.udf(lambda k, n: V.stamp({"entity": n, "alert_id": k, "generated_at": "now"})["evidence_hash"])
-    return M.table(spark, d, "region").select("r_regionkey", h("r_regionkey", "r_name").alias("h"))
+    c = M.table(spark, d, "customer").select(F.col("c_name").alias("entity"), F.col("c_custkey").alias("alert_id"), (F.col("c_custkey") % 97 == 0).alias("seed"), F.lit("now").alias("generated_at"))
+    return c.select(F.col("alert_id").alias("c_custkey"), V.evidence_digest(c.columns).alias("h"))
+
+
+#: Addresses of five kinds made from names; every seventh has its last character changed.
+ADDRESS_SQL = """SELECT c_custkey, c_custkey % 7 <> 0 AS valid, CASE WHEN c_custkey % 7 = 0 THEN 'invalid' ELSE ['P2PKH', 'P2SH', 'P2WPKH', 'P2WSH', 'P2TR'][c_custkey % 5 + 1] END AS kind,
+CASE WHEN c_custkey % 7 <> 0 THEN CASE WHEN c_custkey % 5 >= 3 THEN sha256(c_name) ELSE substr(sha256(c_name), 1, 40) END END AS program FROM customer"""
 
 
-@query("btc_address", "SELECT c_custkey, c_custkey % 2 = 0 AS valid FROM customer", model=False)
+@query("btc_address", ADDRESS_SQL, model=False)
 def _(spark, d):
-    good, bad = "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t5"
-    c = M.table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, good).otherwise(bad).alias("a"))
-    return c.select("c_custkey", describe_address("a")["valid"].alias("valid"))
+    k = F.col("c_custkey")
+    kind = F.element_at(F.array(*map(F.lit, ("P2PKH", "P2SH", "P2WPKH", "P2WSH", "P2TR"))), (k % 5 + 1).cast("int"))
+    full = F.sha2("c_name", 256)
+    c = M.table(spark, d, "customer").select("c_custkey", address_of(F.when(k % 5 >= 3, full).otherwise(F.substring(full, 1, 40)), kind).alias("a"))
+    last = F.right("a", F.lit(1))
+    broken = F.concat(F.expr("left(a, length(a) - 1)"), F.when(last == "q", "p").when(last == "2", "3").when(k % 5 >= 2, "q").otherwise("2"))
+    return c.select("c_custkey", describe_address(F.when(k % 7 == 0, broken).otherwise(F.col("a"))).alias("x")).select("c_custkey", "x.valid", "x.kind", "x.program")
 
 
 # ----------------------------------------------------------------- focus
