@@ -218,8 +218,8 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op9_embeddings": op9_embeddings}
 #: Pairs in double precision, then every vector's smallest reachable id.
 SQL: dict[str, str] = {
-    "op9_embeddings": """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) e FROM embeddings),
-ok AS MATERIALIZED (SELECT vec_id, e, sqrt(list_dot_product(e, e)) norm FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+    "op9_embeddings": """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) e FROM embeddings),
+ok AS MATERIALIZED (SELECT vec_id, e, sqrt(list_dot_product(e, e)) norm FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
 li AS MATERIALIZED (SELECT a.vec_id a, b.vec_id b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND CASE WHEN len(a.e) = len(b.e) THEN list_dot_product(a.e, b.e) / (a.norm * b.norm) END >= 0.95),
 reach(id, root) AS (SELECT DISTINCT a, a FROM li UNION SELECT li.b, reach.root FROM reach JOIN li ON li.a = reach.id WHERE li.b >= reach.root),
 co AS (SELECT id, min(root) component FROM reach GROUP BY id)

@@ -446,4 +446,14 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_jaccard": op6_jaccard}
-SQL: dict[str, str] = {}
+#: Shingles as lists of words, pairs by a join on them, then every document's smallest reachable id.
+SQL: dict[str, str] = {
+    "op6_jaccard": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) WHEN len(w) > 0 THEN [w] ELSE [] END) g FROM w),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+li AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id a, y.doc_id b, count(*) o FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+ JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 75 * (na.n + nb.n - o)),
+reach(id, root) AS (SELECT DISTINCT a, a FROM li UNION SELECT li.b, reach.root FROM reach JOIN li ON li.a = reach.id WHERE li.b >= reach.root),
+co AS (SELECT id, min(root) component FROM reach GROUP BY id)
+SELECT w.doc_id, coalesce(n.n, 0) n_shingles, coalesce(co.component, w.doc_id) component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN co ON co.id = w.doc_id""",
+}
