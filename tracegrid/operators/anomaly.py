@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .. import config
+from .iterate import settled
 
 
 def column_stats(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -137,15 +138,18 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"a": [], "b": [], "d": []})
         b = b.sort_values("k", ignore_index=True)
-        x, y = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy())
-        out = []
-        for i in range(len(x)):
-            d = np.sqrt(((y - x[i]) ** 2).sum(1))
-            d[b.k.to_numpy() == a.k.iloc[i]] = np.inf
-            top = np.argsort(d, kind="stable")[:k]
-            top = top[np.isfinite(d[top])]
-            out.append(pd.DataFrame({"a": a.k.iloc[i], "b": b.k.to_numpy()[top], "d": d[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "d": []})
+        x, y, names, others = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy()), a.k.to_numpy(), b.k.to_numpy()
+        step, out = max(1, (1 << 23) // max(1, y.size)), []
+        for i in range(0, len(x), step):
+            d = np.sqrt(((x[i : i + step, None] - y) ** 2).sum(2))
+            d[names[i : i + step, None] == others] = np.inf
+            kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+            r, c = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
+            order = np.lexsort((c, d[r, c], r))  # equal distances by the other's key
+            r, c = r[order], c[order]
+            few = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out.append(pd.DataFrame({"a": names[i + r[few]], "b": others[c[few]], "d": d[r[few], c[few]]}))
+        return pd.concat(out)
 
     found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(nearest, f"a {kind}, b {kind}, d double")
     best = F.row_number().over(W.partitionBy("a").orderBy("d", "b"))
@@ -154,7 +158,7 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
 
 def lof(df: DataFrame, key: str, vector: str, k: int = config.LOF_NEIGHBOURS) -> DataFrame:
     """(key, lof): mean reachability density of a row's k neighbours over its own."""
-    near = neighbours(df, key, vector, k)
+    near = settled(neighbours(settled(df.select(key, vector)), key, vector, k))
     reach = near.groupBy("a").agg(F.max("d").alias("kd"))
     dens = near.join(reach.select(F.col("a").alias("b"), "kd"), "b").groupBy("a").agg((1.0 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
     ratio = near.select("a", "b").join(dens.select(F.col("a").alias("b"), F.col("lrd").alias("lb")), "b").groupBy("a").agg(F.avg("lb").alias("lb")).join(dens, "a")
@@ -163,12 +167,12 @@ def lof(df: DataFrame, key: str, vector: str, k: int = config.LOF_NEIGHBOURS) ->
 
 def blend(df: DataFrame, key: str, iso: str = "iso", lof_column: str | None = "lof") -> DataFrame:
     """df with anomaly_score and is_anomaly from the ranks of both scores (of one, where rows are few)."""
-    ranked = rank_normalise(df, iso, key, "_iso_rank")
+    ranked = settled(rank_normalise(settled(df), iso, key, "_iso_rank"))
     if lof_column:
         ranked = rank_normalise(ranked, lof_column, key, "_lof_rank").withColumn("_raw", (1 - config.LOF_WEIGHT) * F.col("_iso_rank") + config.LOF_WEIGHT * F.col("_lof_rank"))
     else:
         ranked = ranked.withColumn("_raw", F.col("_iso_rank"))
-    out = rank_normalise(ranked, "_raw", key, "anomaly_score").withColumn("anomaly_score", F.round("anomaly_score", 6))
+    out = settled(rank_normalise(settled(ranked), "_raw", key, "anomaly_score").withColumn("anomaly_score", F.round("anomaly_score", 6)))
     return quantile_flag(out, "anomaly_score").drop("_iso_rank", "_lof_rank", "_raw")
 
 

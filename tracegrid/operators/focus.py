@@ -87,9 +87,47 @@ def node_facts(nodes: DataFrame, edges: DataFrame, node: str) -> dict:
     return {k: v for k, v in row.asDict().items() if v is not None} | {"degree": n}
 
 
-def timeline_offset(rows: DataFrame) -> DataFrame:
+def timeline_offset(rows: DataFrame, moment: list[str], order: list[str]) -> DataFrame:
     """rows with their slot among those of the same moment."""
-    return rows.withColumn("slot", F.row_number().over(W.partitionBy("focus", "timestamp").orderBy("source", "target", "role")) - 1)
+    return rows.withColumn("slot", F.row_number().over(W.partitionBy(*moment).orderBy(*order)) - 1)
+
+
+def focus_view(edges: DataFrame, path: list[str]) -> dict:
+    """What a clicked path lights up: head, path, and as DataFrames the head's neighbours (id), nodes (id) and pairs (a, b, ladder).
+
+    A pair lights up if the head is one of its ends or the path walks along it (ladder).
+    """
+    spark, head = edges.sparkSession, path[-1] if path else None
+    walked = spark.createDataFrame([(*sorted(x), True) for x in zip(path, path[1:], strict=False)], "a string, b string, ladder boolean").distinct()
+    pairs = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct().join(walked, ["a", "b"], "left").fillna(False, ["ladder"])
+    pairs = pairs.where(F.col("ladder") | F.coalesce((F.col("a") == head) | (F.col("b") == head), F.lit(False)))
+    near = direct_neighbours(edges, head) if head is not None else edges.select(F.col("source").alias("id")).limit(0)
+    nodes = near.unionByName(spark.createDataFrame([(x,) for x in path], "id string")).distinct()
+    return {"head": head, "path": list(path), "neighbours": near, "nodes": nodes, "pairs": pairs}
+
+
+def _short(node: str, keep: int = 8) -> str:
+    return node if len(node) <= 2 * keep + 1 else f"{node[:keep]}…{node[-4:]}"
+
+
+def path_summary(path: list[str]) -> str:
+    return " → ".join(map(_short, path))
+
+
+def route_summary(edges: DataFrame, path: list[str]) -> str:
+    """The path with what each step carries, in one unit for the whole route; network steps say so."""
+    if len(path) < 2:
+        return ""
+    hops = route_hops(edges, path).collect()  # a path has at most PATH_MAX nodes
+    top = max((h.amount or 0.0 for h in hops if h.edge_type != "network"), default=0.0)
+    unit, scale = next((u, s) for u, s, least in (("BTC", 1.0, 1.0), ("mBTC", 1e3, 1e-3), ("bits", 1e6, 1e-6), ("sat", 1e8, 0.0)) if top >= least)
+    carried = lambda h: f"{h.amount * scale:,.4f} {unit}" if h.amount is not None and h.edge_type != "network" else h.edge_type or "no link"
+    return "   ".join([_short(path[0]), *(f"-{carried(h)}→ {_short(h.b)}" for h in hops)])
+
+
+def back_references(alerts: DataFrame, node: str) -> DataFrame:
+    """Alerts (entity, reasons, ...) about a node or that name it in a reason."""
+    return alerts.where((F.col("entity") == node) | F.exists("reasons", lambda r: F.contains(r, F.lit(node))))
 
 
 def trail_unit(rows: DataFrame) -> DataFrame:

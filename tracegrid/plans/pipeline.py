@@ -46,7 +46,7 @@ class Store:
 
 
 def run(spark: SparkSession, input_dir: str, output_dir: str, seeds: list[str] | None = None, trees: int = config.FOREST_TREES, use_lof: bool = True, use_louvain: bool = True) -> dict:
-    """Analyse a folder of record files; the summary is also written as summary.json's content in the ledger folder."""
+    """Analyse a folder of record files. The tables are below output_dir, the ledger too; ``answers.export`` writes graph, alerts and summary files."""
     tx, net, found = readers.load_bundle(spark, input_dir)
     if tx is None:
         return {"transactions": 0, "network_records": 0, "alerts": 0}

@@ -90,6 +90,23 @@ def _(spark, d):
     return _round_trip(spark, d, "xml", R.read_xml)
 
 
+@query("scan_bundle", "SELECT 'transactions' kind, count(*) n, count(DISTINCT txid) ids, sum(len(inputs))::BIGINT touches FROM tx UNION ALL SELECT 'network', count(*), count(DISTINCT txid), 0 FROM (SELECT DISTINCT us, src_ip, dst_ip, txid FROM net)")
+def _(spark, d):
+    """All transactions as CSV, a quarter of them again as XML, and the network as JSON documents of some 20,000 records, read back as one bundle."""
+    path = _scan_dir(spark, "bundle")
+    lists = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|")
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
+    t = M.transactions(spark, d).select(stamp, "txid", F.array_join("inputs", "|").alias("input_addresses"), F.array_join("outputs", "|").alias("output_addresses"), lists("input_amounts").alias("input_amounts"), lists("output_amounts").alias("output_amounts"), F.col("fee").cast("string").alias("fee"), "script_type")
+    t.write.option("header", True).csv(f"{path}/a-csv")
+    t.where(F.pmod(F.xxhash64("txid"), F.lit(4)) == 0).write.format("xml").option("rowTag", "transaction").option("rootTag", "transactions").save(f"{path}/b-xml")
+    n = M.network(spark, d)
+    n = n.select(F.struct(stamp, "src_ip", "dst_ip", "txid", "protocol").alias("r"), F.pmod(F.xxhash64("rec"), F.lit(1 + n.count() // 20_000)).alias("k"))
+    n.groupBy("k").agg(F.collect_list("r").alias("network")).repartition("k").write.partitionBy("k").json(f"{path}/c-json")
+    tx, net, _ = R.load_bundle(spark, path)
+    of = lambda df, kind, touches: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.count_distinct("txid").alias("ids"), touches.cast("long").alias("touches"))
+    return of(tx, "transactions", F.sum(F.size("inputs"))).unionByName(of(net, "network", F.lit(0)))
+
+
 @query("guess_kind", "SELECT 'transactions' kind UNION ALL SELECT 'network' UNION ALL SELECT 'mixed' UNION ALL SELECT 'unknown'", model=False)
 def _(spark, d):
     tx, net = ["txid", "input_addresses", "output_addresses", "fee"], ["timestamp", "src_ip", "dst_ip", "protocol"]
@@ -459,7 +476,9 @@ def _(spark, d):
 
 @query("timeline_slot", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) - 1 slot FROM orders", model=False)
 def _(spark, d):
-    return M.table(spark, d, "orders").select("o_orderkey", (F.row_number().over(W.partitionBy("o_orderdate").orderBy("o_orderkey")) - 1).alias("slot"))
+    from ..operators.focus import timeline_offset
+
+    return timeline_offset(M.table(spark, d, "orders"), ["o_orderdate"], ["o_orderkey"]).select("o_orderkey", "slot")
 
 
 @query("top5_corr", f"{CORR_SQL} SELECT txid, array_to_string(list(rec ORDER BY r), ' ') recs FROM (SELECT *, row_number() OVER (PARTITION BY txid ORDER BY conf DESC, us, rec) r FROM co) WHERE r <= 5 GROUP BY txid")

@@ -20,6 +20,7 @@ from ..operators import graph as G
 from ..operators import iterate as I
 from ..operators import peeling as P
 from ..operators import risk as R
+from . import answers as Q
 from . import model as M
 from .relational import CORR_SQL, correlated
 
@@ -584,6 +585,53 @@ def _(spark, d):
     return c.select("c_custkey", describe_address(F.when(k % 7 == 0, broken).otherwise(F.col("a"))).alias("x")).select("c_custkey", "x.valid", "x.kind", "x.program")
 
 
+# ----------------------------------------------------------------- summaries
+@query("rebuild_tx_index", f"{EDGES} SELECT txid, array_to_string(list_sort(list(w) FILTER (k = 'in')), ' ') inputs, array_to_string(list_sort(list(w) FILTER (k = 'out')), ' ') outputs, floor(coalesce(sum(amount) FILTER (k = 'in'), 0) * 100 + 0.5) / 100 total_in, floor(coalesce(sum(amount) FILTER (k = 'out'), 0) * 100 + 0.5) / 100 total_out, floor(count(*) FILTER (k = 'in') / greatest(count(*) FILTER (k = 'out'), 1) * 1e6 + 0.5) / 1e6 io_ratio FROM (SELECT CASE edge_type WHEN 'in' THEN target ELSE source END txid, CASE edge_type WHEN 'in' THEN source ELSE target END w, edge_type k, amount FROM ed) GROUP BY txid")
+def _(spark, d):
+    i = Q.transaction_index(edges(spark, d))
+    return i.select("txid", F.array_join("inputs", " ").alias("inputs"), F.array_join("outputs", " ").alias("outputs"), M.cents(F.col("total_in")).alias("total_in"), M.cents(F.col("total_out")).alias("total_out"), r6("io_ratio"))
+
+
+@query("risk_summary", f"SELECT count(*) FILTER (h = 0) seeds, count(*) wallets_scored, count(*) FILTER (r >= {config.MIN_ALERT_RISK}) above_threshold, max(r) max_wallet_risk, count(*) FILTER (h <= 2) within_two_hops FROM (SELECT (c_custkey % 100) / 100 r, CASE WHEN c_custkey % 7 < 5 THEN c_custkey % 7 END h FROM customer)", model=False)
+def _(spark, d):
+    k = F.col("c_custkey")
+    return Q.risk_summary(M.table(spark, d, "customer").select((k % 100 / 100).alias("wallet_risk"), F.when(k % 7 < 5, k % 7).alias("hops_to_seed")))
+
+
+@query("anomaly_summary", "SELECT count(*) scored, count(*) FILTER (c_acctbal > 9000) flagged, floor(avg((c_custkey % 100) / 100) * 1e4 + 0.5) / 1e4 mean_score FROM customer", model=False)
+def _(spark, d):
+    return Q.anomaly_summary(M.table(spark, d, "customer").select((F.col("c_custkey") % 100 / 100).alias("anomaly_score"), (F.col("c_acctbal") > 9000).alias("is_anomaly")))
+
+
+@query("replay_ticks", "WITH t AS (SELECT o_orderdate, row_number() OVER (ORDER BY o_orderdate) - 1 i, count(*) OVER () n FROM (SELECT DISTINCT o_orderdate FROM orders)) SELECT DISTINCT o_orderdate::VARCHAR o_orderdate FROM t, range(24) k(k) WHERE i = floor(k.k * (n - 1) / 23 + 0.5)", model=False)
+def _(spark, d):
+    return Q.replay_ticks(M.table(spark, d, "orders"), "o_orderdate", 24).select(F.col("o_orderdate").cast("string").alias("o_orderdate"))
+
+
+@query("humanise_seconds", "SELECT o_orderkey, CASE WHEN s < 1 THEN printf('%.0f ms', s * 1000) WHEN s < 60 THEN printf('%.2f s', s) ELSE printf('%d min %.0f s', floor(s / 60)::BIGINT, s - 60 * floor(s / 60)) END AS text FROM (SELECT o_orderkey, (o_orderkey % 5000) / 3.0::DOUBLE s FROM orders)", model=False)
+def _(spark, d):
+    return M.table(spark, d, "orders").select("o_orderkey", Q.humanise_seconds(F.col("o_orderkey") % 5000 / F.lit(3.0)).alias("text"))
+
+
+WALLET_SQL = f"""{EDGES}, w AS (SELECT CASE edge_type WHEN 'in' THEN source ELSE target END wallet, edge_type, amount, us FROM ed),
+ea AS (SELECT wallet, count(*) FILTER (edge_type = 'in') in_degree, count(*) FILTER (edge_type = 'out') out_degree, avg(amount) mean_amount, coalesce(stddev_samp(amount), 0) std_amount, (max(us) - min(us)) / 3.6e9 life FROM w GROUP BY wallet),
+fs AS (SELECT wallet, count(*) n, coalesce(sum(amount) FILTER (side = 'out'), 0) got, coalesce(sum(amount) FILTER (side = 'in'), 0) sent FROM flows GROUP BY wallet),
+fn AS (SELECT wallet, coalesce(max(len(inputs)) FILTER (side = 'in'), 0) fan_in, coalesce(max(len(outputs)) FILTER (side = 'out'), 0) fan_out FROM flows JOIN tx USING (txid) GROUP BY wallet)
+SELECT wallet, in_degree, out_degree, n n_txs, floor(got * 100 + 0.5) / 100 total_received, floor(sent * 100 + 0.5) / 100 total_sent, floor(mean_amount * 1e2 + 0.50001) / 1e2 avg_tx_amount, floor(greatest(got, sent) * 100 + 0.5) / 100 max_tx_amount, floor(life * 1e4 + 0.5) / 1e4 lifetime_hours,
+ fan_in max_fan_in, fan_out max_fan_out, CAST(wallet IN (SELECT wallet FROM seeds) AS INT) is_seed, -1.0::DOUBLE hops_to_seed, 1 cluster_size, 0.0::DOUBLE pagerank, 0 n_correlated_ips FROM ea JOIN fs USING (wallet) JOIN fn USING (wallet)"""
+
+
+@query("wallet_features", WALLET_SQL)
+def _(spark, d):
+    t = M.transactions(spark, d)
+    f, e = M.flows(t), edges(spark, d)
+    degree = e.groupBy(F.when(F.col("edge_type") == "in", F.col("source")).otherwise(F.col("target")).alias("wallet")).agg(F.count_if(F.col("edge_type") == "in").alias("in_degree"), F.count_if(F.col("edge_type") == "out").alias("out_degree"))
+    parts = {"stats": G.wallet_stats(f), "amounts": G.wallet_amounts(e), "degree": degree, "fans": X.fans(f, t), "seeds": M.seeds(spark, d).withColumn("is_seed", F.lit(True))}
+    found = X.wallet_features(parts, f.select("wallet").distinct())
+    money = lambda c: M.cents(F.col(c)).alias(c)
+    return found.select("wallet", "in_degree", "out_degree", "n_txs", money("total_received"), money("total_sent"), (F.floor(F.col("avg_tx_amount") * 1e2 + 0.50001) / 1e2).alias("avg_tx_amount"), money("max_tx_amount"), M.rnd(F.col("lifetime_hours"), 4).alias("lifetime_hours"), "max_fan_in", "max_fan_out", "is_seed", "hops_to_seed", "cluster_size", "pagerank", "n_correlated_ips")
+
+
 # ----------------------------------------------------------------- focus
 FOCUS = f"{EDGES}, fo AS (SELECT wallet id FROM seeds WHERE wallet IN (SELECT wallet FROM flows))"
 

@@ -13,7 +13,6 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from ..functions.scalars import array_sum, blank_to_null, is_missing, parse_timestamp, split_amounts, split_list, to_float, to_int
 
@@ -159,15 +158,28 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")).select(*keys, *(F.col(f"_first.{c}").alias(c) for c in rest)).select(*df.columns)
 
 
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """All files below a folder of any file system that Spark reads, sorted; none if it isn't there."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    if fs.exists(path):
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            out.append(files.next().getPath().toString())
+    return sorted(out)
+
+
 def load_bundle(spark: SparkSession, folder: str) -> tuple[DataFrame | None, DataFrame | None, list[str]]:
     """(transactions, network, seeds) of all readable files below folder; unreadable ones are reported and skipped."""
     tx, net, seeds = [], [], []
-    for place, path in enumerate(sorted(os.path.join(d, n) for d, _, names in os.walk(folder) for n in names)):
-        name = os.path.basename(path)
-        if name.startswith(".") or name in ARTEFACTS or os.path.splitext(name)[1].lower() not in FORMATS:
+    for place, path in enumerate(file_names(spark, folder)):
+        name = path.rpartition("/")[2]
+        if name.startswith((".", "_")) or name in ARTEFACTS or os.path.splitext(name)[1].lower() not in FORMATS:
             continue
         try:
-            if (found := seed_file(path)) is not None:
+            if (found := seed_file(spark, path)) is not None:
                 seeds += found
                 continue
             df = read_records(spark, path)
@@ -191,15 +203,21 @@ def load_bundle(spark: SparkSession, folder: str) -> tuple[DataFrame | None, Dat
     return union(tx, ["txid"]), union(net, ["timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "txid"]), seeds
 
 
-def seed_file(path: str) -> list[str] | None:
+#: A seed list has a few wallets; larger JSON files are records and aren't parsed to find out.
+SEED_BYTES = 4 << 20
+
+
+def seed_file(spark: SparkSession, path: str) -> list[str] | None:
     """Wallets of a seed list: an object with wallets and seed, and without counts."""
     if not path.endswith(".json"):
         return None
-    with open(path, encoding="utf-8") as f:
-        try:
-            data = json.load(f)
-        except ValueError:
-            return None
+    found = spark.read.format("binaryFile").load(path).where(F.col("length") <= SEED_BYTES).select(F.decode("content", "UTF-8").alias("value")).first()
+    if found is None:
+        return None
+    try:
+        data = json.loads(found.value)
+    except ValueError:
+        return None
     if isinstance(data, dict) and "wallets" in data and "seed" in data and "counts" not in data:
         return [str(w) for w in data["wallets"]]
     return None
@@ -215,6 +233,3 @@ def write_unified(df: DataFrame, path: str) -> None:
     times = {f.name: F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ss") for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)}
     df.withColumns(lists | times).write.mode("overwrite").option("header", True).csv(path)
 
-
-def first_by_window(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
