@@ -161,6 +161,23 @@ def test_shards_are_exact_and_gapless(spark, sf, texts, edge, empty):
     assert sharding.shuffle(edge, shards=24).select("shard").distinct().count() == len(EDGE)
 
 
+def test_shuffle_is_uniform_and_written_whole(spark):
+    """Places in the input tell nothing about shards and slots; written shards come back whole and in order."""
+    n, shards = 24_000, 8
+    out = sharding.shuffle(spark.range(0, n, 1, 6).withColumn("shard", F.lit("old")), shards=shards)
+    rows = np.array([(r.id, r.shard, r.slot) for r in out.collect()])
+    table = np.zeros((12, shards))
+    np.add.at(table, (rows[:, 0] // (n // 12), rows[:, 1]), 1)
+    expected = n / 12 / shards
+    assert ((table - expected) ** 2 / expected).sum() < 77 + 5 * (2 * 77) ** 0.5
+    assert abs(np.corrcoef(rows[:, 0], rows[:, 2])[0, 1]) < 0.04
+    path = stage_path(spark, "shards-test")
+    sharding.write_shards(out, path)
+    back = spark.read.parquet(path)
+    assert back.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("a"), F.max("slot").alias("z")).where("n = 3000 and a = 0 and z = 2999").count() == shards
+    assert back.select("id").distinct().count() == n
+
+
 def test_hypergeometric_draws(spark):
     u = sharding._uniform("1L", "id")
     for total, good, drawn in ((1000, 300, 100), (50, 5, 20), (10**7, 10**6, 10**5)):
@@ -229,6 +246,42 @@ def test_mined_rules_block_what_labels_show(spark):
     assert all(got[i] == ("block" if i % 6 == 0 else "allow") for i in range(600)) and got[9999] == "allow"
 
 
+def test_mined_rules_are_those_of_all_subsets(spark):
+    """FP-growth, pruning and merging of tokens against a count of every subset of tokens."""
+    from itertools import combinations
+
+    rng = random.Random(12)
+    rows = []
+    for _ in range(700):
+        t = {x for x in "abcdef" if rng.random() < 0.5}
+        t |= {"twin_a"} if "a" in t else set()
+        bad = rng.random() < 0.05 + 0.7 * ("a" in t and "b" in t) + 0.5 * ("c" in t and "d" not in t) or {"e", "f"} <= t and rng.random() < 0.97
+        rows.append((sorted(t), int(bad)))
+    rows += [(["g", "h"], 1)] * 20 + [(["g"], 1)] * 5
+    counts: dict[frozenset, list[int]] = {}
+    for t, bad in rows:
+        own = sorted(set(t) - {"twin_a"})
+        for k in range(1, len(own) + 1):
+            for x in combinations(own, k):
+                c = counts.setdefault(frozenset(x), [0, 0])
+                c[0] += 1
+                c[1] += bad
+
+    def own(x):
+        n, bad = counts[x]
+        c = bad / n
+        lower = (c + 2 / n - 2 * (c * (1 - c) / n + 1 / n**2) ** 0.5) / (1 + 4 / n)
+        return c if bad >= urls.MIN_ROWS and c >= urls.MIN_CONFIDENCE and lower >= urls.MIN_LOWER else 0.0
+
+    def parts(x):
+        return (frozenset(y) for k in range(1, len(x)) for y in combinations(sorted(x), k))
+
+    want = {x: own(x) for x in counts if own(x) > max(map(own, parts(x)), default=0.0)}
+    got = {frozenset(items): c for items, c, _ in urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad int"))}
+    assert len(want) > 4 and got == pytest.approx(want)
+    assert urls.mine(spark.createDataFrame(rows[:5], "tokens array<string>, bad int")) == []
+
+
 # ----------------------------------------------------------------- 6 jaccard
 def shingle_set(text):
     w = (text or "").encode().lower().split()
@@ -509,6 +562,53 @@ def test_embedding_bound_holds():
 
 
 # ----------------------------------------------------------------- 10 toxicity
+def test_machine_equals_plain_loops():
+    """Scores by every pair of terms, and training by gradients term by term."""
+    rng = np.random.default_rng(1)
+    m = toxicity.FactorizationMachine({}, 0.3, rng.normal(0, 1, 6), rng.normal(0, 1, (6, 3)))
+    for r in ([], [2], [0, 3], [1, 2, 4, 5]):
+        z = m.bias + sum(m.weights[i] for i in r) + sum(float(m.vectors[i] @ m.vectors[j]) for i in r for j in r if i < j)
+        assert m.scores([r])[0] == pytest.approx(1 / (1 + np.exp(-z)))
+    x, y = (rng.random((40, 6)) < 0.5).astype(np.int8), (rng.random(40) < 0.4).astype(np.float64)
+    bias, w, v = toxicity.fit(x, y, factors=2, epochs=4, seed=3)
+    draws = np.random.default_rng(3)
+    base = (y.sum() + 1) / 42
+    p = {"b": float(np.log(base / (1 - base)))} | {("w", i): 0.0 for i in range(6)}
+    start = draws.normal(0, 0.01, (6, 2))
+    p |= {("v", i, f): float(start[i, f]) for i in range(6) for f in range(2)}
+    first, second = dict.fromkeys(p, 0.0), dict.fromkeys(p, 0.0)
+    for t in range(1, 5):
+        draws.permutation(40)
+        grad = dict.fromkeys(p, 0.0)
+        for row, label in zip(x, y, strict=True):
+            on = np.flatnonzero(row).tolist()
+            z = p["b"] + sum(p["w", i] for i in on) + sum(p["v", i, f] * p["v", j, f] for i in on for j in on if i < j for f in range(2))
+            g = (1 / (1 + np.exp(-z)) - label) / 40
+            grad["b"] += g
+            for i in on:
+                grad["w", i] += g
+                for f in range(2):
+                    grad["v", i, f] += g * sum(p["v", j, f] for j in on if j != i)
+        for k in p:
+            grad[k] += 0.0 if k == "b" else 2e-3 * p[k] / (10 if k[0] == "w" else 1)
+            first[k] = 0.9 * first[k] + 0.1 * grad[k]
+            second[k] = 0.999 * second[k] + 0.001 * grad[k] ** 2
+            p[k] -= 0.05 * (first[k] / (1 - 0.9**t)) / ((second[k] / (1 - 0.999**t)) ** 0.5 + 1e-8)
+    assert bias == pytest.approx(p["b"]) and w == pytest.approx([p["w", i] for i in range(6)]) and v.ravel().tolist() == pytest.approx([p["v", i, f] for i in range(6) for f in range(2)])
+
+
+def test_toxicity_of_the_table(spark, sf, texts):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.op10_toxicity(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        on = {m.index[b] for word in set(re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda c: c[0].lower(), text or ""))) for b in toxicity.buckets(word.encode()) if b in m.index}
+        z = m.bias + sum(m.weights[j] for j in on) + sum(float(m.vectors[j] @ m.vectors[k]) for j in on for k in on if j < k)
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and got[i].predicted == int(got[i].score >= 0.7)
+
+
 def test_toxicity_learns_words_and_pairs(spark, edge, empty):
     rng = random.Random(2)
     rows, labels = [], []

@@ -127,8 +127,11 @@ def shuffle(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
-    """One folder for each shard; rows in slot order within each file."""
-    shuffled.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder for each shard, whose files hold ranges of slots, in slot order and in the order of their names.
+
+    Ranges are cut by the number of rows, so a large shard is written by many tasks.
+    """
+    shuffled.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

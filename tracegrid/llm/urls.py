@@ -1,11 +1,16 @@
 """URL filters: fixed rules first, then rules mined from labelled urls.
 
 A url's tokens are its host's labels, its registered name, its path segments with their places (numbers as one
-token), its file suffix, the names of its query's parameters and whether it has a fragment. Labelled urls are mined level by
-level, as by Apriori; a rule "tokens -> block" is kept if its number of bad urls, its confidence and the lower end
-of that confidence's interval are high enough, and if none of its parts has a rule at least as confident. That
-is decided on the executors, and there is no limit on rules. Kept rules match by an inverted index: each is
-filed under its rarest token, so a url only meets rules of tokens that it has.
+token), its file suffix, the names of its query's parameters and whether it has a fragment. Spark's FP-growth finds
+the combinations of tokens that at least ``MIN_ROWS`` bad urls have; the good urls that have them too are counted by
+an inverted index. A rule "tokens -> block" is kept if its confidence and the lower end of that confidence's interval
+are high enough, and if none of its parts has a rule at least as confident. All this is decided on the executors, and
+there is no limit on rules. Kept rules match by an inverted index: each is filed under its rarest token, so a url only
+meets rules of tokens that it has.
+
+Before FP-growth, tokens that lie in exactly the same urls become one item, and a token that is a rule of confidence 1
+by itself is taken out, as all that contain it are redundant: so tokens that always come together don't give all their
+combinations.
 
 Labels: a url is bad if its label has quality 0 or toxic 1. All labelled urls are mined, and all urls judged.
 
@@ -19,6 +24,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,41 +83,10 @@ def tokenized(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(run, "page_id long, tokens array<string>")
 
 
-def _sets(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 3 + [pa.list_(pa.string())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["row", "n", "bad", "items"])
-
-
-def _extended(batches):
-    """(row, n, bad, items) for the sets with one more token than a row's alive sets, if all their parts are alive; from (row, n, bad, sets)."""
-    for batch in batches:
-        out = []
-        for row, n, bad, sets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            alive = {tuple(x) for x in sets}
-            ends: dict[tuple, list] = {}
-            for x in sorted(alive):
-                ends.setdefault(x[:-1], []).append(x[-1])
-            for head, last in ends.items():
-                for i, x in enumerate(last):
-                    for y in last[i + 1 :]:
-                        new = (*head, x, y)
-                        if all((*new[:k], *new[k + 1 :]) in alive for k in range(len(head))):
-                            out.append((row, n, bad, list(new)))
-                if len(out) >= 10_000:
-                    yield _sets(out)
-                    out = []
-        if out:
-            yield _sets(out)
-
-
 def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[list[str], float, float]]:
-    """(tokens, confidence, support) of the kept rules for the class "block", from (tokens, bad).
-
-    Sets of tokens grow by one token a level. A set is alive, and grows, if enough bad rows have it, if each part
-    of it has more rows, and if no part of it is a rule of confidence 1: all that contain any other set are as
-    redundant as itself. So tokens that always come together give one set, not all their combinations.
-    """
-    rows = stage(labelled.groupBy("tokens").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")).withColumn("row", F.monotonically_increasing_id()), "urls-rows")
+    """(tokens, confidence, support) of the kept rules for the class "block", from (tokens, bad)."""
+    rows = labelled.groupBy("tokens").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")).withColumn("row", F.monotonically_increasing_id())
+    rows = stage(rows, "urls-rows")
     total, bad = rows.agg(F.sum("n"), F.sum("bad")).first()
     if not total or bad < MIN_ROWS:
         return []
@@ -120,24 +95,39 @@ def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> list[tu
     lower = (c + 2 / n - 2 * F.sqrt(c * (1 - c) / n + 1 / n**2)) / (1 + 4 / n)
     own = F.when((c >= min_confidence) & (lower >= MIN_LOWER), c).otherwise(0.0).alias("own")
 
-    def sums(held: DataFrame) -> DataFrame:
-        return held.groupBy("items").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("bad") >= MIN_ROWS)
-
-    held = rows.select("row", "n", "bad", F.explode("tokens").alias("t")).select("row", "n", "bad", F.array("t").alias("items"))
-    # own: a set's confidence if it is a rule, else 0; upto: the highest among its parts.
-    level = stage(sums(held).select("items", "n", "bad", own, F.lit(0.0).alias("upto")), "urls-level")
-    kept: list[tuple[list[str], float, float]] = []
-    while True:
-        kept += [(list(r["items"]), r.own, r.bad / total) for r in level.where("own > upto").select("items", "own", "bad").collect()]
-        alive = level.where("own < 1")
-        if alive.limit(2).count() < 2:
-            return sorted(kept, key=lambda k: (len(k[0]), k[0]))
-        sets = held.join(alive.select("items"), "items").groupBy("row").agg(F.first("n").alias("n"), F.first("bad").alias("bad"), F.collect_list("items").alias("sets")).where("size(sets) > 1")
-        held = stage(sets, "urls-sets").select("row", "n", "bad", "sets").mapInArrow(_extended, "row long, n long, bad long, items array<string>")
-        parts = sums(held).select("items", "n", "bad", F.explode(F.transform("items", lambda x: F.array_except("items", F.array(x)))).alias("part"))
-        known = alive.select(F.col("items").alias("part"), F.col("n").alias("part_n"), F.greatest("own", "upto").alias("best"))
-        met = parts.join(known, "part").groupBy("items").agg(F.first("n").alias("n"), F.first("bad").alias("bad"), F.min("part_n").alias("part_n"), F.max("best").alias("upto"))
-        level = stage(met.where("n < part_n").select("items", "n", "bad", own, "upto"), "urls-level")
+    # Tokens by their urls: the sum of the rows' hashes tells sets of rows apart.
+    each = rows.select("row", "n", "bad", F.explode("tokens").alias("t"))
+    place = F.sum(F.xxhash64("row").cast("decimal(38,0)"))
+    tokens_ = each.groupBy("t").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), place.alias("place")).where(F.col("bad") >= MIN_ROWS)
+    items = stage(tokens_.groupBy("n", "bad", "place").agg(F.min("t").alias("item"), F.collect_list("t").alias("same")).select("item", "same", "n", "bad", own), "urls-items")
+    kept = [([r.item], r.own, r.bad / total) for r in items.where("own = 1").select("item", "own", "bad").collect()]
+    open_ = items.where("own < 1")
+    held = each.join(open_.select("item", F.explode("same").alias("t")), "t").groupBy("row").agg(F.first("n").alias("n"), F.first("bad").alias("bad"), F.sort_array(F.collect_set("item")).alias("items"))
+    held = stage(held, "urls-held")
+    baskets = held.where("bad > 0").select("items", F.explode(F.sequence(F.lit(1), "bad")).alias("_")).select("items")
+    many = baskets.count()
+    if not many:
+        return kept
+    model = FPGrowth(itemsCol="items", minSupport=(MIN_ROWS - 0.5) / many).fit(baskets)
+    sets = stage(model.freqItemsets.select(F.sort_array("items").alias("items"), F.col("freq").alias("bad")), "urls-sets")
+    # Each set's rows, good ones too: it is filed under the item with the fewest urls.
+    rarest = F.struct("item_n", "item")
+    filed = sets.withColumn("item", F.explode("items")).join(open_.select("item", F.col("n").alias("item_n")), "item").groupBy("items", "bad").agg(F.min(rarest).alias("r")).select("items", "bad", F.col("r.item").alias("item"))
+    met = held.select("n", F.col("items").alias("own_items"), F.explode("items").alias("item")).join(filed, "item").where(F.size(F.array_except("items", "own_items")) == 0)
+    sets = stage(met.groupBy("items", "bad").agg(F.sum("n").alias("n")).select("items", "bad", "n", own), "urls-sets")
+    # upto: the highest confidence of a rule among a set's parts, from its parts of one item less.
+    known = None
+    for size in range(1, sets.agg(F.max(F.size("items"))).first()[0] + 1):
+        level = sets.where(F.size("items") == size)
+        if known is None:
+            level = level.withColumn("upto", F.lit(0.0))
+        else:
+            parts = level.select("items", F.explode(F.transform("items", lambda x: F.array_except("items", F.array(x)))).alias("part"))
+            best = known.select(F.col("items").alias("part"), F.greatest("own", "upto").alias("best"))
+            level = level.join(parts.join(best, "part").groupBy("items").agg(F.max("best").alias("upto")), "items")
+        known = stage(level, "urls-level")
+        kept += [(list(r["items"]), r.own, r.bad / total) for r in known.where("own > upto").select("items", "own", "bad").collect()]
+    return sorted(kept, key=lambda k: (len(k[0]), k[0]))
 
 
 def inverted(rules: list[tuple[list[str], float, float]], pages_with: dict[str, int]) -> dict[str, list[frozenset]]:
