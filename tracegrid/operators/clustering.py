@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from .. import config
 from ..functions.scalars import array_sum, pop_cv
-from .iterate import connected_components, settled
+from .iterate import connected_components, numbered, settled
 
 
 def merge_hazard(max_inputs: int = config.COMMON_INPUT_MAX, min_outputs: int = config.MIX_OUTPUTS, cv: float = config.MIX_CV) -> Column:
@@ -92,7 +92,7 @@ def louvain(pairs: DataFrame, resolution: float = config.LOUVAIN_RESOLUTION, rou
 def by_size(labels: DataFrame, key: str, label: str) -> DataFrame:
     """(label, number): clusters numbered from 0, largest first, ties by label."""
     sizes = labels.groupBy(label).agg(F.count("*").alias("n"))
-    return sizes.select(label, (F.row_number().over(W.orderBy(F.desc("n"), label)) - 1).alias("number"))
+    return numbered(sizes, [F.desc("n"), F.col(label)], "number").select(label, "number")
 
 
 def entity_labels(wallets: DataFrame, co_spent: DataFrame, communities: DataFrame | None) -> DataFrame:

@@ -44,7 +44,7 @@ def wallet_amounts(edges: DataFrame) -> DataFrame:
 
 def nodes(tx: DataFrame, flows: DataFrame, correlated_edges: DataFrame | None, seeds: DataFrame) -> DataFrame:
     """(id, node_type, total_in, total_out, is_seed) of wallets, transactions and addresses."""
-    w = wallet_stats(flows).join(F.broadcast(seeds.withColumn("is_seed", F.lit(True))), "wallet", "left").select(F.col("wallet").alias("id"), F.lit("wallet").alias("node_type"), "total_in", "total_out", F.coalesce("is_seed", F.lit(False)).alias("is_seed"))
+    w = wallet_stats(flows).join(seeds.withColumn("is_seed", F.lit(True)), "wallet", "left").select(F.col("wallet").alias("id"), F.lit("wallet").alias("node_type"), "total_in", "total_out", F.coalesce("is_seed", F.lit(False)).alias("is_seed"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     t = tx.select(F.col("txid").alias("id"), F.lit("txid").alias("node_type"), total("input_amounts").alias("total_in"), total("output_amounts").alias("total_out"), F.lit(False).alias("is_seed"))
     out = w.unionByName(t)

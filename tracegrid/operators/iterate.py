@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .. import config
 
@@ -37,6 +38,15 @@ def settled(df: DataFrame, **measures: Column) -> DataFrame | tuple[DataFrame, d
     return (done, seen.get) if measures else done
 
 
+def numbered(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """rows with their place (from 0) in an order: sorted in ranges, each shifted by the rows of the ranges before."""
+    placed = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    starts = placed.groupBy("_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))  # one row a range
+    starts = starts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n") - F.col("_first")).alias("_shift"))
+    return placed.join(starts, "_part").withColumn(out, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node of each weak component of edges (src, dst); self-loops keep their node.
 

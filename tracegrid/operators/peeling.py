@@ -79,7 +79,7 @@ def chain_scores(chains: DataFrame, cand: DataFrame, seeds: DataFrame) -> DataFr
     hop = chains.select("start", F.posexplode("txids").alias("hop", "txid")).join(cand, "txid")
     s = seeds.select(F.col("wallet").alias("from_wallet"), F.lit(1).alias("from_seed"))
     p = seeds.select(F.col("wallet").alias("peel_wallet"), F.lit(1).alias("to_seed"))
-    hop = hop.join(F.broadcast(s), "from_wallet", "left").join(F.broadcast(p), "peel_wallet", "left")
+    hop = hop.join(s, "from_wallet", "left").join(p, "peel_wallet", "left")
     agg = hop.groupBy("start").agg(
         F.avg(F.round("asymmetry", 4)).alias("mean_asymmetry"), F.max(F.when(F.col("hop") == 0, F.coalesce("from_seed", F.lit(0)))).alias("starts_at_seed"), F.max(F.coalesce("to_seed", F.lit(0))).alias("reaches_seed"),
         F.sum("continue_amount").alias("moved"),

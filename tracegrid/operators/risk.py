@@ -19,7 +19,7 @@ def seed_pagerank(proj: DataFrame, wallets: DataFrame, seeds: DataFrame, rounds:
 def blended(wallets: DataFrame, ppr: DataFrame, proximity: DataFrame, seeds: DataFrame) -> DataFrame:
     """(wallet, risk_pagerank, risk_proximity, hops_to_seed, wallet_risk); seeds have risk 1."""
     near = proximity.select(F.col("id").alias("wallet"), F.col("proximity").alias("risk_proximity"), F.col("hops").alias("hops_to_seed"))
-    mark = F.broadcast(seeds.select("wallet").distinct().withColumn("_seed", F.lit(True)))
+    mark = seeds.select("wallet").distinct().withColumn("_seed", F.lit(True))
     out = wallets.select("wallet").join(ppr, "wallet", "left").join(near, "wallet", "left").join(mark, "wallet", "left").fillna(0.0, ["risk_pagerank", "risk_proximity"])
     mix = F.round(config.RISK_PAGERANK * F.col("risk_pagerank") + config.RISK_PROXIMITY * F.col("risk_proximity"), 6)
     return out.withColumn("wallet_risk", F.when(F.col("_seed"), 1.0).otherwise(mix)).drop("_seed")

@@ -116,7 +116,7 @@ def analyse(spark: SparkSession, tx: DataFrame, net: DataFrame, seeds: DataFrame
 
 
 def ranked_alerts(wallet_features, wallet_anomaly, wallet_peel, risk, labels, sizes, seeds, signals, tx_risk, tx_features, flows) -> DataFrame:
-    seed = F.broadcast(seeds.select("wallet").distinct().withColumn("is_seed", F.lit(True)))
+    seed = seeds.select("wallet").distinct().withColumn("is_seed", F.lit(True))
     members = labels.join(risk.select("wallet", "wallet_risk"), "wallet").join(wallet_peel.select("wallet", "peel_score"), "wallet", "left").join(seed, "wallet", "left")
     hot = F.coalesce("is_seed", F.lit(False)) | (F.col("wallet_risk") >= config.MIN_ALERT_RISK) | F.coalesce(F.col("peel_score") >= 0.5, F.lit(False))
     tainted = members.groupBy("cluster_id").agg(F.bool_or(hot).alias("cluster_tainted")).join(sizes, "cluster_id")

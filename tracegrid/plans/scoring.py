@@ -381,7 +381,7 @@ def _(spark, d):
 @query("tx_risk", "SELECT txid, floor((0.55 * max(CASE WHEN wallet IN (SELECT wallet FROM seeds) THEN 1.0 ELSE (substr(wallet, 2)::BIGINT % 50) / 100 END) + 0.45 * 0.2) * 1e6 + 0.5) / 1e6 tx_risk FROM flows GROUP BY txid")
 def _(spark, d):
     f = flows(spark, d)
-    seed = F.broadcast(M.seeds(spark, d).withColumn("s", F.lit(1.0)))
+    seed = M.seeds(spark, d).withColumn("s", F.lit(1.0))
     risk = f.select("wallet").distinct().join(seed, "wallet", "left").select("wallet", F.coalesce("s", F.substring("wallet", 2, 20).cast("long") % 50 / 100).alias("wallet_risk"))
     signals = f.select("txid").distinct().withColumn("signal", F.lit(0.2))
     return R.transaction_risk(f, risk, signals).select("txid", M.rnd(F.col("tx_risk")).alias("tx_risk"))
