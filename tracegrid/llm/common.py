@@ -19,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files make fewer tasks than there are cores; such an input is small, so moving it costs little."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df.select(F.spark_partition_id().alias("p")).agg(F.count_distinct("p")).first()[0]
+    return df.repartition(cores) if 0 < tasks < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_out(table(spark, sf_dir, "documents"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, else (in tests) one of our own, set as that."""
     where = spark.conf.get("spark.checkpoint.dir", None)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, connected_components, stage, table, text_batches
+from .common import bounded_broadcast, connected_components, documents, stage, text_batches
 from .rtree import Forest, count_vector, may_link, overlap_bound, pack_vector, unpack_vectors
 
 WIDTH = 5
@@ -442,7 +442,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(table(spark, sf_dir, "documents"))
+    return components(documents(spark, sf_dir))
 
 
 QUERIES = {"op6_jaccard": op6_jaccard}

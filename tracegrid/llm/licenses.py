@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import documents, text_batches
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Phrases whose every place counts, with their labels.
@@ -244,7 +244,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"))
+    found = scan(documents(spark, sf_dir))
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return found.select(
         "doc_id",

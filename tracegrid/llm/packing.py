@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stage, table, text_batches
+from .common import documents, stage, text_batches
 from .word_encoder import encoder, vocabulary_path
 
 CAPACITY = 2048
@@ -209,7 +209,7 @@ def packed_rows(docs: DataFrame) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_rows(table(spark, sf_dir, "documents"))
+    return packed_rows(documents(spark, sf_dir))
 
 
 QUERIES = {"op8_packing": op8_packing}

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded_broadcast, stage, table
+from .common import bounded_broadcast, documents, stage, table
 
 ALPHA = 0.02
 DELTA = 0.05
@@ -152,7 +152,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
     judged = apply_rules(docs, table(spark, sf_dir, "labels"), carry=["doc_id", "lang"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 

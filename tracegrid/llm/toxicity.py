@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table, text_batches
+from .common import documents, stage, table, text_batches
 
 BUCKETS = 1 << 20
 SAMPLE_ROWS = 20_000
@@ -170,7 +170,7 @@ def held_out() -> Column:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
