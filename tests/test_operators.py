@@ -143,6 +143,24 @@ def test_forest_ranks_planted_outlier_first(spark):
     assert blended.where("is_anomaly").count() == n - math.ceil(0.94 * (n - 1))
 
 
+def test_forest_is_saved_and_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(f"r{i}", float(i % 7), float(i * i % 11)) for i in range(200)], "id string, a double, b double")
+    model = anomaly.grow_forest(rows, "id", ["a", "b"], trees=10)
+    anomaly.save_model(spark, model, str(tmp_path / "model"))
+    again = anomaly.load_model(spark, str(tmp_path / "model"))
+    scores = lambda m: {r.id: r.iso for r in anomaly.score_forest(rows, "id", m).collect()}
+    assert scores(again) == scores(model) == {r.id: r.iso for r in anomaly.isolation_forest(rows, "id", ["a", "b"], trees=10).collect()}
+
+
+def test_newest_folder(spark, tmp_path):
+    import os
+
+    for i, name in enumerate(("b", "a")):
+        (tmp_path / name).mkdir()
+        os.utime(tmp_path / name, (1000 + i, 1000 + i))
+    assert readers.latest_folder(spark, str(tmp_path)).endswith("/a") and readers.latest_folder(spark, str(tmp_path / "none")) is None
+
+
 def test_louvain_splits_two_cliques(spark):
     pairs = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "ab" for i in range(5) for j in range(i + 1, 5)] + [("a0", "b0", 0.1)]
     df = spark.createDataFrame(pairs, "a string, b string, weight double")

@@ -122,16 +122,26 @@ PRIVATE_BLOCKS = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "1
 
 
 def is_private_ip(c: Column) -> Column:
-    """Private, loopback, reserved or no valid address; IPv6 by its leading digits."""
-    n = ipv4_number(c)
-    inside = F.lit(False)
+    """Private, loopback, reserved or no valid address; IPv6 by its leading digits.
+
+    The address is parsed once, in a list of one element, and its number held against all blocks there.
+    """
+    ranges = []
     for block in PRIVATE_BLOCKS:
         net, bits = block.split("/")
         low = sum(int(x) << (24 - 8 * i) for i, x in enumerate(net.split(".")))
-        inside = inside | n.between(low, low + (1 << (32 - int(bits))) - 1)
+        ranges.append((low, low + (1 << (32 - int(bits))) - 1))
+
+    def inside(n: Column) -> Column:
+        found = F.lit(False)
+        for low, high in ranges:
+            found = found | n.between(low, high)
+        return found
+
+    private4 = F.get(F.transform(F.array(ipv4_number(c)), inside), 0)
     v6 = F.lower(F.trim(c))
     private6 = v6.rlike(r"^(::1?$|f[cd]|fe[89ab]|2001:db8:)")
-    return F.when(n.isNotNull(), inside).when(ip_version(c) == 6, private6).otherwise(F.lit(True))
+    return F.coalesce(private4, F.when(ip_version(c) == 6, private6).otherwise(F.lit(True)))
 
 
 def ip_version(c: Column) -> Column:

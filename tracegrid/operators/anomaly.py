@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -95,35 +96,53 @@ def path_lengths(nodes: list, x: np.ndarray) -> np.ndarray:
         at[i] = np.where(x[i, f[node]] < cut[node], left[node], right[node])
 
 
-def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = config.FOREST_TREES, sample: int = config.FOREST_SAMPLE, seed: int = 42) -> DataFrame:
-    """(key, iso): 2 ** (-mean path / usual path); near 1 is isolated.
+def grow_forest(df: DataFrame, key: str, columns: list[str], trees: int = config.FOREST_TREES, sample: int = config.FOREST_SAMPLE, seed: int = 42) -> dict:
+    """The forest as plain values: columns, usual path, and each tree's nodes.
 
     A tree sees at most ``sample`` rows by definition of the method; a bounded draw of rows for all trees, the
-    smallest hashes, is taken as one top-k, the forest (trees times a few hundred nodes) goes to the workers.
+    smallest hashes, is taken as one top-k.
     """
     pool = min(trees * sample, 32 * sample)
     rows = df.select(key, *(F.col(c).cast("double") for c in columns)).fillna(0.0).orderBy(F.xxhash64(F.lit(seed), key), key).limit(pool).toPandas()
     data = rows[columns].to_numpy(dtype=np.float64)
-    if not len(data):
-        return df.select(key, F.lit(0.5).alias("iso")).limit(0)
-    size = min(sample, len(data))
-    forest = []
-    for t in range(trees):
+    size, forest = min(sample, len(data)), []
+    for t in range(trees if len(data) else 0):
         rng = np.random.default_rng([seed, t])
         forest.append(grow_tree(data[rng.choice(len(data), size, replace=False)], rng, max(1, math.ceil(math.log2(max(size, 2))))))
-    usual = max(_average_path(size), 1e-9)
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    return {"columns": list(columns), "usual": max(_average_path(size), 1e-9), "trees": forest}
+
+
+def score_forest(df: DataFrame, key: str, model: dict) -> DataFrame:
+    """(key, iso): 2 ** (-mean path / usual path); near 1 is isolated. The forest (trees times a few hundred nodes) goes to the workers."""
+    columns = model["columns"]
+    if not model["trees"]:
+        return df.select(key, F.lit(0.5).alias("iso")).limit(0)
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         for b in batches:
             x = b[columns].to_numpy(dtype=np.float64)
-            total = sum(path_lengths(tree, x) for tree in shared.value)
-            yield pd.DataFrame({key: b[key], "iso": 2.0 ** (-(total / len(shared.value)) / usual)})
+            forest = shared.value["trees"]
+            total = sum(path_lengths(tree, x) for tree in forest)
+            yield pd.DataFrame({key: b[key], "iso": 2.0 ** (-(total / len(forest)) / shared.value["usual"])})
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, *(F.col(c).cast("double") for c in columns)).fillna(0.0).mapInPandas(score, f"`{key}` {kind}, iso double")
 
 
+def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = config.FOREST_TREES, sample: int = config.FOREST_SAMPLE, seed: int = 42) -> DataFrame:
+    """(key, iso) of df's rows by a forest grown on df."""
+    return score_forest(df, key, grow_forest(df, key, columns, trees, sample, seed))
+
+
+def save_model(spark: SparkSession, model: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(model),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_model(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first().value)
+
+
 # ----------------------------------------------------------------- local outlier factor
 def neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(a, b, d): each row's k nearest others. Blocks of rows meet as matrices; each block pair keeps k a row."""

@@ -171,6 +171,15 @@ def file_names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(out)
 
 
+def latest_folder(spark: SparkSession, parent: str) -> str | None:
+    """The folder below parent that was changed last."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = [s for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
+    best = max(folders, key=lambda s: (s.getModificationTime(), s.getPath().getName()), default=None)
+    return best.getPath().toString() if best is not None else None
+
+
 def load_bundle(spark: SparkSession, folder: str) -> tuple[DataFrame | None, DataFrame | None, list[str]]:
     """(transactions, network, seeds) of all readable files below folder; unreadable ones are reported and skipped."""
     tx, net, seeds = [], [], []
