@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import corpus_pipeline
-from test_corpus_queries import brute_components
+from test_corpus_queries import brute_components, check_packed
 
 from tracegrid.llm import toxicity
 from tracegrid.llm.common import stage
@@ -32,3 +34,22 @@ def test_stages_take_empty_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, function in corpus_pipeline.STAGES:
         assert function(spark, docs, sf).count() == 0
+
+
+def test_stages_take_odd_rows(spark, sf):
+    """Null ids and texts, repeated rows, one id with several texts, ties, and extra columns with clashing names."""
+    plain = " ".join(f"plain{i} word{i}" for i in range(60))
+    other = " ".join(f"other{i} text{i}" for i in range(60))
+    rows = [(1, plain), (1, plain), (1, other), (2, plain + " more"), (None, plain), (None, other + " x"), (None, None), (3, None), (4, ""), (5, "a few words"), (None, "lone " + plain[::-1])]
+    clashing = "doc_id long, text string, lang string, source string, n_chars int, id long, n long, score double, kept boolean, sequence_id string, rep int"
+    docs = spark.createDataFrame([(i, t, "en" if k % 2 else None, None, k, 7, 8, 0.5, False, "s", 1) for k, (i, t) in enumerate(rows)], clashing)
+    count = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    toxic, quality, near, packed = (function for _, function in corpus_pipeline.STAGES)
+    assert toxic(spark, docs, sf).columns == quality(spark, docs, sf).columns == near(spark, docs, sf).columns == corpus_pipeline.COLUMNS
+    assert count(toxic(spark, docs, sf)) == Counter(rows)
+    assert count(quality(spark, docs, sf)) == Counter((i, t) for i, t in rows if t and len(t.split()) >= 50)
+    left = count(near(spark, docs, sf))
+    assert left == Counter([(1, plain), (1, other), (None, None), (3, None), (4, ""), (5, "a few words"), (None, "lone " + plain[::-1])])
+    pieces = packed(spark, docs, sf).collect()
+    assert len(pieces) == len(rows) and check_packed(pieces, 2048) == -(-sum(r.length for r in pieces) // 2048)
+    assert Counter(r.doc_id for r in pieces) == Counter(i for i, _ in rows)

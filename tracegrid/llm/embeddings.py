@@ -205,7 +205,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tiles: int
     classes = reps.select("d1", "d2", "cls", "n").join(links, "cls", "left").join(found.withColumnRenamed("node", "cls"), "cls", "left")
     classes = stage(classes.select("d1", "d2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("root")), "vector-roots")
     linked = rows.where("dim > 0").select("vec_id", "d1", "d2").join(classes, ["d1", "d2"])
-    names = linked.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    names = stage(linked.groupBy("root").agg(F.min("vec_id").alias("component_id")), "vector-names")
     out = linked.join(names, "root").select("vec_id", "n_links", "component_id")
     out = out.unionByName(rows.where("dim = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

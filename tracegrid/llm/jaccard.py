@@ -429,7 +429,8 @@ def components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     whole, roots = clusters(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
     found = whole.select("id", "doc_id", F.col("n").alias("n_shingles")).join(roots, "id")
-    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "n_shingles", "component_id")
+    names = stage(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-names")  # written, so that the join can split a large component
+    return found.join(names, "root").select("doc_id", "n_shingles", "component_id")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
@@ -437,7 +438,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     whole, roots = clusters(docs, docs.columns)
     found = whole.select("id", "doc_id").join(roots, "id")
     many = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("best"), F.count("*").alias("rows")).where("rows > 1")
-    drop = stage(found.join(many, "root").where("id <> best.id").select("id"), "jaccard-drops")
+    drop = stage(found.join(stage(many, "jaccard-names"), "root").where("id <> best.id").select("id"), "jaccard-drops")
     return whole.join(bounded_broadcast(drop), "id", "left_anti").select(*docs.columns)
 
 
