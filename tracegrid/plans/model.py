@@ -75,7 +75,7 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same model in SQL; every oracle starts with it.
 SQL = """
-WITH RECURSIVE li AS (SELECT l_orderkey k, l_linenumber n, 'W' || l_partkey w, l_extendedprice a, l_returnflag = 'R' r, floor(l_extendedprice * l_tax * 100 + 0.5) / 100 tax FROM lineitem),
+WITH li AS (SELECT l_orderkey k, l_linenumber n, 'W' || l_partkey w, l_extendedprice a, l_returnflag = 'R' r, floor(l_extendedprice * l_tax * 100 + 0.5) / 100 tax FROM lineitem),
 ag AS (SELECT k, coalesce(list(w ORDER BY n) FILTER (r), []) ri, coalesce(list(a ORDER BY n) FILTER (r), []) ra, list(w ORDER BY n) FILTER (NOT r) ow, list(a ORDER BY n) FILTER (NOT r) oa, list(tax ORDER BY n) taxes FROM li GROUP BY k),
 t0 AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority, ri, ra, ow, oa,
   floor(greatest(list_sum(oa) + list_sum(taxes) - coalesce(list_sum(ra), 0), 0.01) * 100 + 0.5) / 100 own FROM orders JOIN ag ON o_orderkey = k WHERE ow IS NOT NULL),
@@ -101,7 +101,8 @@ class Registry:
         def add(f):
             self.queries[name] = f
             if sql is not None:
-                self.sql[name] = (SQL + ", " * (not sql.lstrip().upper().startswith("SELECT")) if model else "") + sql
+                start = SQL.replace("WITH", "WITH RECURSIVE", 1) if "USING KEY" in sql else SQL  # recursion types unions by their first part
+                self.sql[name] = (start + ", " * (not sql.lstrip().upper().startswith("SELECT")) if model else "") + sql
             return f
 
         return add
