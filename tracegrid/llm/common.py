@@ -65,9 +65,9 @@ def stage(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
 BROADCAST_ROWS = 1 << 20
 
 
-def bounded_broadcast(ids: DataFrame) -> DataFrame:
+def bounded_broadcast(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """ids, which must be staged or cheap to count, marked for a broadcast only if it is small; else joined by a shuffle."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
 
 
 def text_batches(spark: SparkSession) -> None:

@@ -53,6 +53,8 @@ WORD_CACHE = 500_000
 CHANCE = 1e-18
 #: Cells are named by so many bits of a shingle; texts that meet in a cell by chance fail the bound.
 CELL_BITS = 44
+#: Rows (three numbers each) of pairs that may be broadcast to the texts.
+PAIR_ROWS = 1 << 19
 #: Rows that a task of the tiles' join holds at once, besides one pair of blocks.
 ROWS = 1 << 14
 
@@ -387,7 +389,8 @@ def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
                 ok.append(both > 0 and Q * both >= P * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    rows = rows.join(_texts(pairs, whole).withColumnRenamed("id", "b"), "b").select("a", "i", "b", "text")
+    rows = bounded_broadcast(rows, PAIR_ROWS)  # small, it meets the texts where they lie
+    rows = _texts(pairs, whole).withColumnRenamed("id", "b").join(rows, "b").select("a", "i", "b", "text")
     rows = rows.repartition("a", "i").sortWithinPartitions("a", "i", F.col("a") != F.col("b"))
     return stage(rows.mapInArrow(run, "a long, b long"), "jaccard-links")
 
