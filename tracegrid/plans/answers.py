@@ -57,7 +57,7 @@ def infrastructure(spark: SparkSession, output_dir: str, key: str = "geo_asn") -
     alerts = at.read("alerts").select("alert_id", "entity", "entity_type", "risk")
     touched = alerts.where("entity_type = 'wallet'").join(at.read("flows").select(F.col("wallet").alias("entity"), "txid").distinct(), "entity").select("alert_id", "txid")
     touched = touched.unionByName(alerts.where("entity_type = 'transaction'").select("alert_id", F.col("entity").alias("txid")))
-    packets = at.read("correlated").join(at.read("network").select("rec", "geo_country", "geo_asn", "asn_org"), "rec")
+    packets = at.read("correlated").select("txid", "geo_country", "geo_asn", F.col("src_asn_org").alias("asn_org"))
     evidence = touched.join(packets.select("txid", "geo_country", "geo_asn", "asn_org"), "txid").select("alert_id", "geo_country", "geo_asn", "asn_org").distinct()
     return A.rollup(alerts, evidence, packets, key)
 
