@@ -246,42 +246,6 @@ def test_mined_rules_block_what_labels_show(spark):
     assert all(got[i] == ("block" if i % 6 == 0 else "allow") for i in range(600)) and got[9999] == "allow"
 
 
-def test_mined_rules_are_those_of_all_subsets(spark):
-    """FP-growth, pruning and merging of tokens against a count of every subset of tokens."""
-    from itertools import combinations
-
-    rng = random.Random(12)
-    rows = []
-    for _ in range(700):
-        t = {x for x in "abcdef" if rng.random() < 0.5}
-        t |= {"twin_a"} if "a" in t else set()
-        bad = rng.random() < 0.05 + 0.7 * ("a" in t and "b" in t) + 0.5 * ("c" in t and "d" not in t) or {"e", "f"} <= t and rng.random() < 0.97
-        rows.append((sorted(t), int(bad)))
-    rows += [(["g", "h"], 1)] * 20 + [(["g"], 1)] * 5
-    counts: dict[frozenset, list[int]] = {}
-    for t, bad in rows:
-        own = sorted(set(t) - {"twin_a"})
-        for k in range(1, len(own) + 1):
-            for x in combinations(own, k):
-                c = counts.setdefault(frozenset(x), [0, 0])
-                c[0] += 1
-                c[1] += bad
-
-    def own(x):
-        n, bad = counts[x]
-        c = bad / n
-        lower = (c + 2 / n - 2 * (c * (1 - c) / n + 1 / n**2) ** 0.5) / (1 + 4 / n)
-        return c if bad >= urls.MIN_ROWS and c >= urls.MIN_CONFIDENCE and lower >= urls.MIN_LOWER else 0.0
-
-    def parts(x):
-        return (frozenset(y) for k in range(1, len(x)) for y in combinations(sorted(x), k))
-
-    want = {x: own(x) for x in counts if own(x) > max(map(own, parts(x)), default=0.0)}
-    got = {frozenset(items): c for items, c, _ in urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad int"))}
-    assert len(want) > 4 and got == pytest.approx(want)
-    assert urls.mine(spark.createDataFrame(rows[:5], "tokens array<string>, bad int")) == []
-
-
 # ----------------------------------------------------------------- 6 jaccard
 def shingle_set(text):
     w = (text or "").encode().lower().split()

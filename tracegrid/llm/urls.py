@@ -22,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from itertools import product
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -101,13 +102,20 @@ def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> list[tu
     tokens_ = each.groupBy("t").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), place.alias("place")).where(F.col("bad") >= MIN_ROWS)
     items = stage(tokens_.groupBy("n", "bad", "place").agg(F.min("t").alias("item"), F.collect_list("t").alias("same")).select("item", "same", "n", "bad", own), "urls-items")
     kept = [([r.item], r.own, r.bad / total) for r in items.where("own = 1").select("item", "own", "bad").collect()]
+
+    def spelled(kept: list) -> list[tuple[list[str], float, float]]:
+        """The rules with each token that an item stands for: on other urls they may come apart."""
+        used = sorted({x for parts, _, _ in kept for x in parts})
+        same = {r.item: sorted(r.same) for r in items.where(F.col("item").isin(used)).select("item", "same").collect()} if used else {}
+        return sorted(((sorted(x), c, s) for parts, c, s in kept for x in product(*(same[i] for i in parts))), key=lambda k: (len(k[0]), k[0]))
+
     open_ = items.where("own < 1")
     held = each.join(open_.select("item", F.explode("same").alias("t")), "t").groupBy("row").agg(F.first("n").alias("n"), F.first("bad").alias("bad"), F.sort_array(F.collect_set("item")).alias("items"))
     held = stage(held, "urls-held")
     baskets = held.where("bad > 0").select("items", F.explode(F.sequence(F.lit(1), "bad")).alias("_")).select("items")
     many = baskets.count()
     if not many:
-        return kept
+        return spelled(kept)
     model = FPGrowth(itemsCol="items", minSupport=(MIN_ROWS - 0.5) / many).fit(baskets)
     sets = stage(model.freqItemsets.select(F.sort_array("items").alias("items"), F.col("freq").alias("bad")), "urls-sets")
     # Each set's rows, good ones too: it is filed under the item with the fewest urls.
@@ -127,7 +135,7 @@ def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> list[tu
             level = level.join(parts.join(best, "part").groupBy("items").agg(F.max("best").alias("upto")), "items")
         known = stage(level, "urls-level")
         kept += [(list(r["items"]), r.own, r.bad / total) for r in known.where("own > upto").select("items", "own", "bad").collect()]
-    return sorted(kept, key=lambda k: (len(k[0]), k[0]))
+    return spelled(kept)
 
 
 def inverted(rules: list[tuple[list[str], float, float]], pages_with: dict[str, int]) -> dict[str, list[frozenset]]:
