@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from .. import config
 from ..functions.scalars import array_sum, pop_cv
+from . import tiles as T
 from .iterate import connected_components, numbered, settled
 
 
@@ -22,7 +23,13 @@ def common_input(tx: DataFrame, **hazard) -> DataFrame:
     """(node, component): wallets tied by being spent together; a wallet listed twice is a cluster of its own."""
     safe = tx.where((F.size("inputs") >= 2) & ~merge_hazard(**hazard))
     stars = safe.select(F.col("inputs")[0].alias("src"), F.explode(F.slice("inputs", 2, 1_000_000)).alias("dst"))
-    return connected_components(stars)
+    stars, found = settled(stars, n=F.count(F.lit(1)))
+    few = T.few_names(stars.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+    if few is None:
+        return connected_components(stars)
+    names, _ = few
+    graph = T.tiled(stars.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("weight")), names, found["n"])
+    return settled(names.labelled(graph.components(), graph.present, "node", "component"))
 
 
 def modularity(pairs: DataFrame, labels: DataFrame, resolution: float = config.LOUVAIN_RESOLUTION) -> float:
@@ -68,11 +75,27 @@ def _local_moves(pairs: DataFrame, resolution: float, rounds: int) -> DataFrame:
     return state.select("id", "community")
 
 
-def louvain(pairs: DataFrame, resolution: float = config.LOUVAIN_RESOLUTION, rounds: int = 10, levels: int = 4) -> DataFrame:
+def louvain(pairs: DataFrame, resolution: float = config.LOUVAIN_RESOLUTION, rounds: int = 10, levels: int = 4, ids: DataFrame | None = None, n_pairs: int = 0) -> DataFrame:
     """(id, community): moves, then the same on the graph of communities, while modularity rises.
 
-    Deterministic; if the result is worse than connected components, those are returned.
+    Deterministic; if the result is worse than connected components, those are returned. Parallel pairs add up. With
+    ids, which has all ids of pairs (id), and about how many pairs there are, pairs are gone through once.
     """
+    pairs = pairs.select("a", "b", "weight")
+    if ids is None:
+        pairs, found = settled(pairs, n=F.count(F.lit(1)))
+        ids, n_pairs = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), found["n"]
+    turns = {f"turn{j}": F.pmod(F.xxhash64("id", F.lit(j)), F.lit(2)) == 1 for j in range((rounds + 1) // 2)}
+    few = T.few_names(ids, turns)
+    if few is None:
+        return louvain_by_joins(pairs, resolution, rounds, levels)
+    names, rows = few
+    graph = T.tiled(pairs, names, n_pairs)
+    return settled(names.labelled(T.louvain(graph, [names.column(rows, c) for c in turns], resolution, rounds, levels), graph.present, "id", "community"))
+
+
+def louvain_by_joins(pairs: DataFrame, resolution: float = config.LOUVAIN_RESOLUTION, rounds: int = 10, levels: int = 4) -> DataFrame:
+    """The same for any number of ids, by joins of DataFrames."""
     pairs = settled(pairs.select("a", "b", "weight"))
     labels, graph, best = None, pairs, None
     for _ in range(levels):
