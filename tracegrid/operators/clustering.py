@@ -85,13 +85,22 @@ def louvain(pairs: DataFrame, resolution: float = config.LOUVAIN_RESOLUTION, rou
     if ids is None:
         pairs, found = settled(pairs, n=F.count(F.lit(1)))
         ids, n_pairs = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), found["n"]
-    turns = {f"turn{j}": F.pmod(F.xxhash64("id", F.lit(j)), F.lit(2)) == 1 for j in range((rounds + 1) // 2)}
+    turns = waiting(rounds)
     few = T.few_names(ids, turns)
     if few is None:
         return louvain_by_joins(pairs, resolution, rounds, levels)
     names, rows = few
-    graph = T.tiled(pairs, names, n_pairs)
-    return settled(names.labelled(T.louvain(graph, [names.column(rows, c) for c in turns], resolution, rounds, levels), graph.present, "id", "community"))
+    return louvain_of(T.tiled(pairs, names, n_pairs), names, [names.column(rows, c) for c in turns], resolution, rounds, levels)
+
+
+def waiting(rounds: int = 10) -> dict[str, Column]:
+    """Of ids (id), for each two rounds, who waits for the second."""
+    return {f"turn{j}": F.pmod(F.xxhash64("id", F.lit(j)), F.lit(2)) == 1 for j in range((rounds + 1) // 2)}
+
+
+def louvain_of(graph: T.Tiled, names: T.Names, turns: list, resolution: float = config.LOUVAIN_RESOLUTION, rounds: int = 10, levels: int = 4) -> DataFrame:
+    """louvain of a graph in tiles; turns: the columns of waiting."""
+    return settled(names.labelled(T.louvain(graph, turns, resolution, rounds, levels), graph.present, "id", "community"))
 
 
 def louvain_by_joins(pairs: DataFrame, resolution: float = config.LOUVAIN_RESOLUTION, rounds: int = 10, levels: int = 4) -> DataFrame:

@@ -20,6 +20,11 @@ from .iterate import settled
 MOST_NODES, MOST_BYTES = 4_000_000, 64_000_000
 #: Edges, each in both directions, that a tile is meant to have; pairs that are dealt out at a time.
 TILE_EDGES, DEAL_PAIRS = 1 << 17, 1 << 18
+#: Edges that are contracted at a time: fewer parts of tiles, more parallel edges added up before they move.
+CONTRACT_EDGES = 1 << 20
+#: Bytes of an Arrow batch and tasks a core when tiles are gone through; small batches keep workers small, few tasks start fast.
+BATCH_BYTES, TASKS = 4 << 20, 3
+LOW = (1 << 32) - 1
 LOOSE = "tile int, ids binary, tos binary, ws binary"
 PACKED = "tile int, nodes binary, counts binary, sums binary, loops binary, tos binary, ws binary"
 
@@ -41,12 +46,12 @@ class Names:
         given = spark.sparkContext.broadcast((labels, present))
 
         def name(batches):
-            for ids in _gathered(batches, DEAL_PAIRS):
-                at = pc.index_in(ids.column(0), value_set=shared.value).to_numpy()
+            for b in batches:
+                at = b.column(0).to_numpy()
                 at = at[given.value[1][at]]
                 yield pa.RecordBatch.from_arrays([shared.value.take(pa.array(at)), shared.value.take(pa.array(given.value[0][at]))], names=[id_name, label_name])
 
-        return self.rows.select("id").mapInArrow(name, f"{id_name} {kind}, {label_name} {kind}")
+        return spark.range(self.n).mapInArrow(name, f"{id_name} {kind}, {label_name} {kind}")
 
 
 def few_names(ids: DataFrame, more: dict | None = None) -> tuple[Names, pa.Table] | None:
@@ -142,33 +147,49 @@ class Tiled:
                 at = _ints(b.column(0)[i])
                 self.ends[at], self.loops[at], self.present[at] = _doubles(b.column(1)[i]), _doubles(b.column(2)[i]), True
 
-    def mapped(self, f: Callable, state: tuple, schema: str) -> tuple[DataFrame, object]:
-        """A frame with what f makes of each tile (nodes, counts, loops, tos, ws) and state, and the broadcast of state."""
+    def rows(self) -> DataFrame:
+        spark = self.spark
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return self.tiles.select("nodes", "counts", "loops", "tos", "ws").coalesce(TASKS * spark.sparkContext.defaultParallelism)
+
+    def asked(self, f: Callable, state: tuple, ready: Callable = lambda x: x) -> tuple[np.ndarray, np.ndarray]:
+        """The two columns of numbers that f makes of each tile (nodes, counts, loops, tos, ws) and of what ready, once a
+        task, makes of state; a graph of one tile is asked in the driver."""
+        if self.n_tiles == 1:
+            self.here, state = self.here or self.rows().toArrow().to_batches(), ready(state)
+            got = pa.Table.from_batches([f(_arrays(b, i), state) for b in self.here for i in range(b.num_rows)], pa.schema([("a", pa.int32()), ("b", pa.int32())]))
+            return got.column(0).to_numpy(), got.column(1).to_numpy()
         shared = self.spark.sparkContext.broadcast(state)
 
         def run(batches):
+            given = None
             for b in batches:
+                given = given or ready(shared.value)
                 for i in range(b.num_rows):
-                    yield f(_arrays(b, i), shared.value)
+                    yield f(_arrays(b, i), given)
 
-        return self.tiles.select("nodes", "counts", "loops", "tos", "ws").mapInArrow(run, schema), shared
-
-    def asked(self, f: Callable, state: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """The two columns of numbers that f returns; a graph of one tile is asked in the driver."""
-        if self.n_tiles == 1:
-            self.here = self.here or self.tiles.select("nodes", "counts", "loops", "tos", "ws").toArrow().to_batches()
-            got = pa.Table.from_batches([f(_arrays(b, i), state) for b in self.here for i in range(b.num_rows)], pa.schema([("a", pa.int32()), ("b", pa.int32())]))
-            return got.column(0).to_numpy(), got.column(1).to_numpy()
-        df, shared = self.mapped(f, state, "a int, b int")
-        got = df.toArrow()
+        got = self.rows().mapInArrow(run, "a int, b int").toArrow()
         shared.destroy()
         return got.column(0).to_numpy(), got.column(1).to_numpy()
 
     def contracted(self, labels: np.ndarray, n: int) -> Tiled:
         """The graph whose n nodes are the labels of this one's."""
         tiles = max(1, min(n * n // TILE_EDGES, self.n_tiles))
-        df, shared = self.mapped(_contract, (labels, n, tiles), LOOSE)
-        out = Tiled(df, n, tiles)
+        shared = self.spark.sparkContext.broadcast(labels)
+
+        def run(batches):
+            held, size = [], 0
+            for b in batches:
+                for i in range(b.num_rows):
+                    held.append(_relabelled(_arrays(b, i), shared.value))
+                    size += len(held[-1][0])
+                    if size >= CONTRACT_EDGES:
+                        yield _contract(held, tiles)
+                        held, size = [], 0
+            if held:
+                yield _contract(held, tiles)
+
+        out = Tiled(self.rows().mapInArrow(run, LOOSE), n, tiles)
         shared.destroy()
         return out
 
@@ -199,16 +220,22 @@ def tiled(pairs: DataFrame, names: Names, n_pairs: int) -> Tiled:
     return Tiled(pairs.select("a", "b", F.col("weight").cast("double")).mapInArrow(deal, LOOSE), names.n, tiles)
 
 
-def _contract(tile: tuple, state: tuple) -> pa.RecordBatch:
-    (nodes, counts, loops, tos, ws), (labels, n, tiles) = tile, state
-    a, b = np.repeat(labels[nodes], counts), labels[tos]
-    key = np.concatenate([a.astype(np.int64) * n + b, labels[nodes].astype(np.int64) * (n + 1)])
-    w = np.concatenate([np.where(a == b, ws / 2, ws), loops])  # an edge inside is here in both directions
+def _relabelled(tile: tuple, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the edges between the labels of a tile's: a key of both ends, and the weight."""
+    nodes, counts, loops, tos, ws = tile
+    own = labels[nodes].astype(np.int64)
+    a, b = np.repeat(own, counts), labels[tos]
+    key = np.concatenate([a << 32 | b, own << 32 | own])
+    return key, np.concatenate([np.where(a == b, ws / 2, ws), loops])  # an edge inside is here in both directions
+
+
+def _contract(held: list[tuple[np.ndarray, np.ndarray]], tiles: int) -> pa.RecordBatch:
+    key, w = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.argsort(key)
     key = key[order]
     cuts = _starts(key)
     key = key[cuts]
-    return _dealt(key // n, key % n, np.add.reduceat(w[order], cuts), tiles)
+    return _dealt(key >> 32, key & LOW, np.add.reduceat(w[order], cuts), tiles)
 
 
 def _hooks(tile: tuple, state: tuple) -> pa.RecordBatch:
@@ -221,24 +248,24 @@ def _hooks(tile: tuple, state: tuple) -> pa.RecordBatch:
 
 def _best(tile: tuple, state: tuple) -> pa.RecordBatch:
     """(node, community) of the nodes in turn that gain by a move, to the best community that a neighbour is in."""
-    (nodes, counts, _, tos, ws), (community, total, ends, turn, m2, resolution) = tile, state
-    ours = turn[nodes]
+    (nodes, counts, _, tos, ws), (community, total, ends, ours, m2, resolution) = tile, state
+    ours = ours[nodes]
     kept = np.repeat(ours, counts)
-    nodes, counts, tos, ws = nodes[ours], counts[ours], tos[kept], ws[kept]
-    n, own, k = len(community), community[nodes], ends[nodes]
-    at = np.arange(len(nodes), dtype=np.int64)
-    key = np.concatenate([np.repeat(at, counts) * n + community[tos], at * n + own])
+    nodes, counts = nodes[ours], counts[ours]
+    own, k = community[nodes], ends[nodes]
+    at = np.arange(len(nodes), dtype=np.int64) << 32
+    key = np.concatenate([np.repeat(at, counts) | community[tos[kept]], at | own])
     order = np.argsort(key)
-    key, w = key[order], np.concatenate([ws, np.zeros(len(nodes))])[order]
+    key, w = key[order], np.concatenate([ws[kept], np.zeros(len(nodes))])[order]
     cuts = _starts(key)
     key, w = key[cuts], np.add.reduceat(w, cuts) if len(cuts) else w
-    at, c = key // n, key % n
-    stay = c == own[at]
-    gain = np.round(w - resolution * k[at] * (total[c] - np.where(stay, k[at], 0.0)) / m2, 12)
+    at, c = key >> 32, key & LOW
+    stay, ours = c == own[at], k[at]
+    gain = np.round(w - resolution * ours * (total[c] - np.where(stay, ours, 0.0)) / m2, 12)
     first = _starts(at)
     if len(first):
         top = np.maximum.reduceat(gain, first)[at]
-        c = np.maximum.reduceat(np.where(gain == top, c + n * stay, -1), first) % n
+        c = np.maximum.reduceat(np.where(gain == top, c | stay.astype(np.int64) << 32, -1), first) & LOW
     less = c != own
     return pa.RecordBatch.from_arrays([pa.array(nodes[less]), pa.array(c[less].astype(np.int32))], names=["a", "b"])
 
@@ -249,12 +276,18 @@ def local_moves(graph: Tiled, turns: list[np.ndarray], resolution: float, rounds
     community, m2 = np.arange(graph.n, dtype=np.int32), float(ends.sum())
     if not m2:
         return community
+    fixed = graph.spark.sparkContext.broadcast((ends, turns, m2, resolution))  # a round sends communities alone
+
+    def ready(state: tuple) -> tuple:
+        (community, r), (ends, turns, m2, resolution) = state, fixed.value
+        return community, np.bincount(community, ends, len(community)), ends, turns[r // 2] == bool(r % 2), m2, resolution
+
     for r in range(rounds):
-        total = np.bincount(community, ends, graph.n)
-        nodes, to = graph.asked(_best, (community, total, ends, turns[r // 2] == bool(r % 2), m2, resolution))
+        nodes, to = graph.asked(_best, (community, r), ready)
         community[nodes] = to
         if not len(nodes) and r % 2:
             break
+    fixed.destroy()
     return community
 
 
