@@ -90,7 +90,8 @@ def louvain(pairs: DataFrame, resolution: float = config.LOUVAIN_RESOLUTION, rou
     if few is None:
         return louvain_by_joins(pairs, resolution, rounds, levels)
     names, rows = few
-    return louvain_of(T.tiled(pairs, names, n_pairs), names, [names.column(rows, c) for c in turns], resolution, rounds, levels)
+    turns = [names.column(rows, c) for c in turns]
+    return louvain_of(T.tiled(pairs, names, n_pairs, turns), names, turns, resolution, rounds, levels)
 
 
 def waiting(rounds: int = 10) -> dict[str, Column]:

@@ -88,10 +88,22 @@ def _starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
-def _dealt(ids: np.ndarray, tos: np.ndarray, ws: np.ndarray, tiles: int) -> pa.RecordBatch:
+class Places:
+    """Where nodes are: in about so many tiles, each of nodes whose turns are all alike (their kind) where that leaves tiles enough."""
+
+    def __init__(self, tiles: int, turns: list[np.ndarray] = ()) -> None:
+        kinds = 1 << len(turns) if 0 < len(turns) < 8 and tiles >= 2 << len(turns) else 1
+        self.each, self.tiles = tiles // kinds, tiles // kinds * kinds
+        self.kinds = sum(t.astype(np.uint8) << j for j, t in enumerate(turns)) if kinds > 1 else None
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        return ids % self.each if self.kinds is None else ids % self.each + self.kinds[ids] * np.int32(self.each)
+
+
+def _dealt(ids: np.ndarray, tos: np.ndarray, ws: np.ndarray, places: Places) -> pa.RecordBatch:
     """Directed edges, those of a tile in one row."""
-    tile = ids % tiles
-    order = np.argsort(tile.astype(np.uint16) if tiles < 1 << 16 else tile, kind="stable")
+    tile = places.of(ids)
+    order = np.argsort(tile.astype(np.uint16) if places.tiles < 1 << 16 else tile, kind="stable")
     tile, ids, tos, ws = tile[order], ids[order].astype(np.int32), tos[order].astype(np.int32), ws[order]
     cuts = _starts(tile)
     parts = lambda x: pa.array([p.tobytes() for p in np.split(x, cuts[1:])] if len(x) else [], pa.binary())
@@ -138,21 +150,26 @@ def _arrays(b: pa.RecordBatch, i: int) -> tuple:
 class Tiled:
     """A graph of n nodes in tiles; ends has, for each node, the weight of its edges to others, loops that to itself."""
 
-    def __init__(self, loose: DataFrame, n: int, tiles: int) -> None:
-        self.n, self.n_tiles, self.spark, self.here = n, tiles, loose.sparkSession, None
-        self.tiles = settled(loose.repartition(max(1, tiles // 8), "tile").sortWithinPartitions("tile").mapInArrow(_pack, PACKED))
+    def __init__(self, loose: DataFrame, n: int, places: Places) -> None:
+        self.n, self.n_tiles, self.spark, self.here, self.kinds = n, places.tiles, loose.sparkSession, None, places.kinds is not None
+        together = F.col("tile") - F.col("tile") % F.lit(places.each) % F.lit(8)  # up to eight tiles of a kind
+        packed = loose.repartition(max(1, places.tiles // 8), together).sortWithinPartitions("tile").mapInArrow(_pack, PACKED)
+        self.tiles = settled(packed.withColumn("kind", F.floor(F.col("tile") / F.lit(places.each)).cast("int")), "kind") if self.kinds else settled(packed)
         self.ends, self.loops, self.present = np.zeros(n), np.zeros(n), np.zeros(n, bool)
         for b in self.tiles.select("nodes", "sums", "loops").toArrow().to_batches():
             for i in range(b.num_rows):
                 at = _ints(b.column(0)[i])
                 self.ends[at], self.loops[at], self.present[at] = _doubles(b.column(1)[i]), _doubles(b.column(2)[i]), True
 
-    def rows(self) -> DataFrame:
-        spark = self.spark
+    def rows(self, turn: int = 0, waits: bool | None = None) -> DataFrame:
+        """The tiles; with waits, those that have nodes whose turn of that number is so."""
+        spark, tiles = self.spark, self.tiles
+        if self.kinds and waits is not None:
+            tiles = tiles.where(F.shiftright("kind", turn).bitwiseAND(F.lit(1)) == int(waits))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-        return self.tiles.select("nodes", "counts", "loops", "tos", "ws").coalesce(TASKS * spark.sparkContext.defaultParallelism)
+        return tiles.select("nodes", "counts", "loops", "tos", "ws").coalesce(TASKS * spark.sparkContext.defaultParallelism)
 
-    def asked(self, f: Callable, state: tuple, ready: Callable = lambda x: x) -> tuple[np.ndarray, np.ndarray]:
+    def asked(self, f: Callable, state: tuple, ready: Callable = lambda x: x, *turn) -> tuple[np.ndarray, np.ndarray]:
         """The two columns of numbers that f makes of each tile (nodes, counts, loops, tos, ws) and of what ready, once a
         task, makes of state; a graph of one tile is asked in the driver."""
         if self.n_tiles == 1:
@@ -168,28 +185,28 @@ class Tiled:
                 for i in range(b.num_rows):
                     yield f(_arrays(b, i), given)
 
-        got = self.rows().mapInArrow(run, "a int, b int").toArrow()
+        got = self.rows(*turn).mapInArrow(run, "a int, b int").toArrow()
         shared.destroy()
         return got.column(0).to_numpy(), got.column(1).to_numpy()
 
-    def contracted(self, labels: np.ndarray, n: int) -> Tiled:
-        """The graph whose n nodes are the labels of this one's."""
-        tiles = max(1, min(n * n // TILE_EDGES, self.n_tiles))
-        shared = self.spark.sparkContext.broadcast(labels)
+    def contracted(self, labels: np.ndarray, n: int, turns: list[np.ndarray] = ()) -> Tiled:
+        """The graph whose n nodes are the labels of this one's; turns: of those."""
+        places = Places(max(1, min(n * n // TILE_EDGES, self.n_tiles)), turns)
+        shared = self.spark.sparkContext.broadcast((labels, places))
 
         def run(batches):
             held, size = [], 0
             for b in batches:
                 for i in range(b.num_rows):
-                    held.append(_relabelled(_arrays(b, i), shared.value))
+                    held.append(_relabelled(_arrays(b, i), shared.value[0]))
                     size += len(held[-1][0])
                     if size >= CONTRACT_EDGES:
-                        yield _contract(held, tiles)
+                        yield _contract(held, shared.value[1])
                         held, size = [], 0
             if held:
-                yield _contract(held, tiles)
+                yield _contract(held, shared.value[1])
 
-        out = Tiled(self.rows().mapInArrow(run, LOOSE), n, tiles)
+        out = Tiled(self.rows().mapInArrow(run, LOOSE), n, places)
         shared.destroy()
         return out
 
@@ -205,9 +222,10 @@ class Tiled:
                 names = further
 
 
-def tiled(pairs: DataFrame, names: Names, n_pairs: int) -> Tiled:
+def tiled(pairs: DataFrame, names: Names, n_pairs: int, turns: list[np.ndarray] = ()) -> Tiled:
     """Of undirected pairs (a, b, weight), of which there are about n_pairs; pairs without an id are left out."""
-    tiles, shared = max(1, 2 * n_pairs // TILE_EDGES), names.shared
+    places, shared = Places(max(1, 2 * n_pairs // TILE_EDGES), turns), names.shared
+    given = pairs.sparkSession.sparkContext.broadcast(places)
 
     def deal(batches):
         for b in _gathered(batches, DEAL_PAIRS):
@@ -215,9 +233,9 @@ def tiled(pairs: DataFrame, names: Names, n_pairs: int) -> Tiled:
             ok = pc.and_(pc.is_valid(a), pc.is_valid(z)).to_numpy(zero_copy_only=False)
             a, z, w = (pc.fill_null(x, 0).to_numpy(zero_copy_only=False)[ok] for x in (a, z, b.column(2)))
             back = a != z
-            yield _dealt(np.concatenate([a, z[back]]), np.concatenate([z, a[back]]), np.concatenate([w, w[back]]), tiles)
+            yield _dealt(np.concatenate([a, z[back]]), np.concatenate([z, a[back]]), np.concatenate([w, w[back]]), given.value)
 
-    return Tiled(pairs.select("a", "b", F.col("weight").cast("double")).mapInArrow(deal, LOOSE), names.n, tiles)
+    return Tiled(pairs.select("a", "b", F.col("weight").cast("double")).mapInArrow(deal, LOOSE), names.n, places)
 
 
 def _relabelled(tile: tuple, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,13 +247,13 @@ def _relabelled(tile: tuple, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key, np.concatenate([np.where(a == b, ws / 2, ws), loops])  # an edge inside is here in both directions
 
 
-def _contract(held: list[tuple[np.ndarray, np.ndarray]], tiles: int) -> pa.RecordBatch:
+def _contract(held: list[tuple[np.ndarray, np.ndarray]], places: Places) -> pa.RecordBatch:
     key, w = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.argsort(key)
     key = key[order]
     cuts = _starts(key)
     key = key[cuts]
-    return _dealt(key >> 32, key & LOW, np.add.reduceat(w[order], cuts), tiles)
+    return _dealt(key >> 32, key & LOW, np.add.reduceat(w[order], cuts), places)
 
 
 def _hooks(tile: tuple, state: tuple) -> pa.RecordBatch:
@@ -283,7 +301,7 @@ def local_moves(graph: Tiled, turns: list[np.ndarray], resolution: float, rounds
         return community, np.bincount(community, ends, len(community)), ends, turns[r // 2] == bool(r % 2), m2, resolution
 
     for r in range(rounds):
-        nodes, to = graph.asked(_best, (community, r), ready)
+        nodes, to = graph.asked(_best, (community, r), ready, r // 2, bool(r % 2))
         community[nodes] = to
         if not len(nodes) and r % 2:
             break
@@ -300,7 +318,8 @@ def louvain(graph: Tiled, turns: list[np.ndarray], resolution: float, rounds: in
         step = local_moves(graph, turns, resolution, rounds)
         kept, step = np.unique(step, return_inverse=True)
         new, at = base[kept][step[at]], step[at]
-        graph, base, turns = graph.contracted(step.astype(np.int32), len(kept)), base[kept], [t[kept] for t in turns]
+        base, turns = base[kept], [t[kept] for t in turns]
+        graph = graph.contracted(step.astype(np.int32), len(kept), turns)
         q = graph.loops.sum() / m - spread(graph) if m else 0.0
         if best is not None and q <= best + 1e-9:
             break
